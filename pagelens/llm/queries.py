@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idfiles, mixing, packing
+from . import idfiles, jaccard, mixing, packing
 
 
 def word_tokenizer() -> str:
@@ -24,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), 0, 2048)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=80)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(5, 2, 1), share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part", "shards")
@@ -36,6 +40,7 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_source_mixing": op7_source_mixing,
     "op10_id_files": op10_id_files,
 }
