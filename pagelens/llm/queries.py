@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idfiles, jaccard, mixing, packing
+from . import audio, idfiles, jaccard, mixing, packing, quality
 
 
 def word_tokenizer() -> str:
@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), 0, 2048)
 
@@ -33,15 +40,27 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part", "shards")
 
 
+def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = audio.AudioSettings()
+    media = audio.store(table(spark, sf_dir, "documents").select("doc_id", "text"), 576, settings)
+    described = audio.describe(media, settings)
+    number = lambda x: F.round(x, 2).cast("string")
+    active = F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["end_s"] - s["start_s"])
+    feature = F.concat_ws("|", F.col("frames").cast("string"), F.size("segments").cast("string"), number(active), F.concat_ws(",", F.transform("mean_mel", number)))
+    return described.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, entries = idfiles.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), 1)
     return idfiles.read_ids(spark, entries, digest=True).select("doc_id", "start", F.col("n_tokens"), "ids_crc32")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_source_mixing": op7_source_mixing,
+    "op9_audio_features": op9_audio_features,
     "op10_id_files": op10_id_files,
 }
 
