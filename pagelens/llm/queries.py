@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, idfiles, jaccard, mixing, packing, quality
+from . import audio, htmltext, idfiles, jaccard, mixing, packing, quality, warc
 
 
 def word_tokenizer() -> str:
@@ -31,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), 0, 2048)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=80)
 
@@ -40,6 +44,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "part", "shards")
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = audio.AudioSettings()
     media = audio.store(table(spark, sf_dir, "documents").select("doc_id", "text"), 576, settings)
@@ -58,8 +67,10 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_source_mixing": op7_source_mixing,
+    "op8_warc_index": op8_warc_index,
     "op9_audio_features": op9_audio_features,
     "op10_id_files": op10_id_files,
 }
