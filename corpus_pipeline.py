@@ -1,4 +1,44 @@
-STAGES = []
+"""Corpus pipeline: quality filter, near-copy removal, source mixing, packing. Each stage reads what the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagelens.llm import jaccard, mixing, packing, quality, scratch
+from pagelens.llm.queries import table, word_tokenizer
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones, gives a score of 0.5 or more."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    kept = quality.score(docs, model, docs.columns)
+    return kept.filter("score >= 0.5").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard.one_of_each(docs, width=5, percent=80).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources as documents, a row for each copy taken."""
+    return mixing.materialise(mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: a row for each piece of a document."""
+    return packing.pack(docs.select("doc_id", "text"), word_tokenizer(), 0, 2048)
+
+
+STAGES = [("quality", quality_filter), ("near_copies", near_copies), ("mix", source_mix), ("pack", pack)]
+
+#: The classifier cannot be written in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each result is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
