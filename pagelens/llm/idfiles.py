@@ -164,7 +164,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{shard:06d}.idr"], "ids": [total], "documents": [len(names)], "bytes": [at + len(table) + struct.calcsize(_TRAILER)]}, schema=schema)
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("ids", pa.int64()), ("documents", pa.int64()), ("bytes", pa.int64())])
-    ordered = encoded.select("doc_id", "width", "ids").repartitionByRange(shards, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.select("doc_id", "width", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     written = save(ordered.mapInArrow(run, "shard int, path string, ids long, documents long, bytes long"), "idfiles-made").orderBy("shard").collect()
     drop(spark, encoded)
     entries, start = [], 0
