@@ -2,7 +2,7 @@
 
 The word tokenizer's normaliser and pre-tokenizer never look across ASCII white space, so a text's ids are the
 concatenation of the ids of its white-space separated chunks. A worker keeps the ids of chunks it has met in a table of
-bounded size that outlives a task; losing the table changes the time only.
+bounded size that outlives a task; what it forgets is encoded again.
 """
 
 from __future__ import annotations
@@ -10,15 +10,29 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
-#: Chunks a worker remembers (about 300 bytes each); beyond it the table is emptied and filled again.
-CACHE_CHUNKS = 500_000
+#: Chunks a worker remembers (about 250 bytes each). Beyond it the half met first stays, the commoner chunks mostly.
+CACHE_CHUNKS = 600_000
 _ENCODE_AT_ONCE = 20_000
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+class _Numbers(dict):
+    """Numbers of chunks in the order they are first asked for; ``new`` lists those not encoded yet."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class ChunkEncoder:
     """Ids of whole texts from the ids of their chunks."""
 
@@ -26,26 +40,36 @@ class ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self.vocab_size = self._tokenizer.get_vocab_size()
+        self._whole, self._plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._plain.normalizer = None  # lower-case ASCII is in normal form already
+        self.vocab_size = self._whole.get_vocab_size()
         self._limit = cache_chunks
-        self._clear()
-
-    def _clear(self) -> None:
-        self._number: dict[bytes, int] = {}
+        self._number = _Numbers()
         self._start, self._length, self._ids = array("q"), array("i"), array("I")
 
+    def _shrink(self) -> None:
+        keep = self._limit // 2
+        self._number = _Numbers(islice(self._number.items(), keep))
+        del self._start[keep:], self._length[keep:]
+        end = int((np.frombuffer(self._start, np.int64) + np.frombuffer(self._length, np.int32)).max(initial=0))
+        del self._ids[end:]
+
     def _learn(self, chunks: list[bytes]) -> None:
         for at in range(0, len(chunks), _ENCODE_AT_ONCE):
             part = chunks[at : at + _ENCODE_AT_ONCE]
-            found = self._tokenizer.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
-            lengths = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)) if len(found) else np.zeros(len(part), np.int64)
-            starts = len(self._ids) + np.cumsum(lengths) - lengths
-            self._ids.extend(found.ids)
-            self._start.extend(starts.tolist())
-            self._length.extend(lengths.tolist())
-            first = len(self._number)
-            self._number.update(zip(part, range(first, first + len(part)), strict=True))
+            plain = np.fromiter((c.isascii() and c == c.lower() for c in part), bool, len(part))
+            lengths, ids = np.zeros(len(part), np.int64), [np.zeros(0, np.uint32)] * 2
+            for k, (tokenizer, own) in enumerate(((self._whole, np.flatnonzero(~plain)), (self._plain, np.flatnonzero(plain)))):
+                if len(own):
+                    found = tokenizer.encode([part[i].decode() for i in own], is_pretokenized=True, add_special_tokens=False)
+                    lengths[own] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)) if len(found) else 0
+                    ids[k] = np.array(found.ids, np.uint32)
+            starts = np.empty(len(part), np.int64)
+            for base, mask in ((0, ~plain), (len(ids[0]), plain)):
+                starts[mask] = base + np.cumsum(lengths[mask]) - lengths[mask]
+            starts += len(self._ids)
+            for kept, values, kind in ((self._ids, np.concatenate(ids), np.uint32), (self._start, starts, np.int64), (self._length, lengths, np.int32)):
+                kept.frombytes(values.astype(kind).tobytes())
 
     @staticmethod
     def chunks(text: bytes) -> list[bytes]:
@@ -55,14 +79,17 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text, in order."""
-        split = [self.chunks(t) for t in texts]
         if len(self._number) > self._limit:
-            self._clear()
-        self._learn(list(set().union(*split).difference(self._number)) if split else [])
-        number = self._number.__getitem__
+            self._shrink()
+        get = self._number.__getitem__
+        numbers = []
+        for text in texts:
+            chunks = self.chunks(text)
+            numbers.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+        new, self._number.new = self._number.new, []
+        self._learn(new)
         start, length, ids = (np.frombuffer(a, t) if a else np.zeros(0, t) for a, t in ((self._start, np.int64), (self._length, np.int32), (self._ids, np.uint32)))
-        for chunks in split:
-            which = np.fromiter(map(number, chunks), np.int64, len(chunks))
+        for which in numbers:
             sizes = length[which].astype(np.int64)
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
