@@ -195,11 +195,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
 def score(docs: DataFrame, model: AdditiveModel, keep: list[str]) -> DataFrame:
     """The kept columns and score: the probability that the label is 1."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    columns = keep if "text" in keep else [*keep, "text"]
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = arrow_texts(batch.column(len(keep)))
-            x = np.array([text_features(t) for t in texts], float).reshape(-1, len(NAMES))
+            x = np.array([text_features(t) for t in arrow_texts(batch.column(at))], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x), pa.float64())], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*columns).mapInArrow(run, f"{kinds}, score double")
