@@ -6,7 +6,6 @@ around, trees), a query has none and tests hold it against brute force.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from datetime import date
 
@@ -427,11 +426,13 @@ def trial_scores(spark, sf_dir):
 
 
 def crawl_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A crawl from every page: the recorded reply claims the page's first link, which no snapshot has."""
+    """A crawl from every page. Replies to even pages claim the page itself; to odd ones they name a foreign link."""
     p = table(spark, sf_dir, "pages")
-    requests = p.select(F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("crawl_id"), F.col("url").alias("start_url"), F.lit(LINK_GOAL).alias("goal"), F.lit(5).alias("max_pages"), F.lit(2).alias("max_depth"), F.lit(1).alias("max_results"), F.array(urls.host_expr(F.col("url"))).alias("allowed_domains"))
-    reply = json.dumps({"found": False, "confidence": 0.4, "result_url": None, "links_to_follow": ["https://nowhere.example.org/"], "reasoning": "Looking on."})
-    replies = p.select(F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("crawl_id"), urls.normalize_udf(F.col("url")).alias("norm_url"), F.lit(1).alias("attempt"), F.lit(reply).alias("raw"))
+    name, even = F.concat(F.lit("c"), F.col("page_id").cast("string")), F.col("page_id") % 2 == 0
+    limits = {"max_pages": 5, "max_depth": 2, "max_results": 1}
+    requests = p.select(name.alias("crawl_id"), F.col("url").alias("start_url"), F.lit(LINK_GOAL).alias("goal"), *(F.lit(v).alias(k) for k, v in limits.items()), F.array(urls.host_expr(F.col("url"))).alias("allowed_domains"), F.lit("existence").alias("verification"))
+    reply = F.struct(even.alias("found"), F.when(even, 0.8).otherwise(0.4).alias("confidence"), F.when(even, F.col("url")).alias("result_url"), F.array(F.lit("https://nowhere.example.org/")).alias("links_to_follow"), F.lit("Judged.").alias("reasoning"))
+    replies = p.select(name.alias("crawl_id"), urls.normalize_udf(F.col("url")).alias("norm_url"), F.lit(1).alias("attempt"), F.to_json(reply, {"ignoreNullFields": "false"}).alias("raw"))
     return requests, snapshots.from_pages(p), replies
 
 
@@ -440,17 +441,16 @@ def crawl_events(spark, sf_dir):
     return crawl.crawl_events(*crawl_inputs(spark, sf_dir))
 
 
-@query("SELECT 'c' || page_id AS crawl_id, false AS found, 4 AS pages_fetched_or_missing FROM pages WHERE false")
-def crawl_found(spark, sf_dir):
-    """Crawls that found something: none, as no recorded reply claims a find."""
+@query("SELECT 'c' || page_id AS crawl_id, page_id % 2 = 0 AS found, CASE WHEN page_id % 2 = 0 THEN url END AS result_url, 1 AS pages_visited, CASE WHEN page_id % 2 = 0 THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence FROM pages")
+def crawl_results(spark, sf_dir):
+    """Every crawl reads its start page; the ranked links that the odd ones fall back on have no snapshot."""
     got = crawl.results(crawl.crawl_events(*crawl_inputs(spark, sf_dir)))
-    return got.filter("found").select("crawl_id", "found", F.col("pages_visited").alias("pages_fetched_or_missing"))
+    return got.select("crawl_id", "found", F.get("result_urls", F.lit(0)).alias("result_url"), "pages_visited", "confidence")
 
 
-@query("SELECT 'c' || page_id AS crawl_id, 1 AS pages_visited, 0.4::DOUBLE AS confidence FROM pages")
-def crawl_results(spark, sf_dir):
-    """Every crawl reads its start page; the ranked links it falls back on have no snapshot."""
-    return crawl.results(crawl.crawl_events(*crawl_inputs(spark, sf_dir))).select("crawl_id", "pages_visited", "confidence")
+@query("SELECT 'c' || page_id AS crawl_id, 1 AS visit_no, url, 0 AS depth, page_id % 2 = 0 AS found FROM pages")
+def crawl_visit_log(spark, sf_dir):
+    return crawl.visit_log(crawl.results(crawl.crawl_events(*crawl_inputs(spark, sf_dir)))).select("crawl_id", "visit_no", "url", "depth", "found")
 
 
 @query()
