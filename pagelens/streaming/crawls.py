@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from pagelens.plans.crawl import EVENT_SCHEMA, replay_group
 
 
-def crawl_stream(rows: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """Events of crawls from a stream of crawl_id, kind (request, page, reply, go), norm_url, attempt, body."""
+def crawl_stream(rows: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """Events of crawls from a stream of crawl_id, kind (request, page, reply, go), norm_url, attempt, body.
+
+    With a timeout, a crawl whose rows have stopped for so long runs without a row of kind ``go``.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = [pickle.loads(state.get[0])] if state.exists else []
@@ -33,9 +36,10 @@ def crawl_stream(rows: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
                 yield out
         else:
             state.update((pickle.dumps(every),))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
 
-    return rows.groupBy("crawl_id").applyInPandasWithState(step, EVENT_SCHEMA, "rows binary", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("crawl_id").applyInPandasWithState(step, EVENT_SCHEMA, "rows binary", "append", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:

@@ -165,9 +165,9 @@ def test_crawl_stream(spark, tables, tmp_path):
     goes = spark.createDataFrame([("x", "go"), ("y", "go")], "crawl_id string, kind string").withColumns({"norm_url": F.lit(None).cast("string"), "attempt": F.lit(0), "body": F.lit(None).cast("string")})
     goes.coalesce(1).write.json(str(tmp_path / "in/2"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
-    query = crawl_stream(stream).writeStream.format("memory").queryName("crawled").outputMode("append").start()
+    query = crawl_stream(stream).writeStream.format("memory").queryName("crawled").outputMode("append").trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert query.awaitTermination(120)
     finally:
         query.stop()
     want = crawl.crawl_events(*tables)
