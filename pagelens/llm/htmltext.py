@@ -3,7 +3,7 @@
 A page is cut into text blocks in page order. Containers that hold no article text (menus, page headers and footers,
 sidebars, notices, adverts, forms, comments, scripts, styles) are known by element, role, or a word of their class or
 id. Pages of a host are ordered by URL path; each is aligned, block by block, with the nearer of its two neighbours by
-longest common subsequence. Blocks both have are page furniture and are deleted, unless the page's markup says that
+longest common subsequence (with the other if that one is a copy). Blocks both have are page furniture and are deleted, unless the page's markup says that
 they are article text (inside ``article`` or ``main`` and not mostly links): copies of an article keep their text. A
 neighbour that shares nearly all text is a copy and says nothing about furniture.
 
@@ -165,16 +165,17 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
 COPY_SHARE = 0.8
 
 
-def main_text(html: str | None, neighbour: str | None = None) -> str:
-    """The article of a page; the neighbour is a page of the same host, if there is one."""
+def main_text(html: str | None, *neighbours: str) -> str:
+    """The article of a page; neighbours are pages of the same host, the nearest first: the first that is no copy counts."""
     own = blocks(html or "")
+    lines = [b.text for b in own]
+    whole = sum(len(b.text) for b in own if not b.furniture)
     shared = [False] * len(own)
-    if neighbour is not None and own:
-        shared = common_lines([b.text for b in own], [b.text for b in blocks(neighbour)])
-        open_ = [(b, s) for b, s in zip(own, shared, strict=True) if not b.furniture]
-        whole = sum(len(b.text) for b, _ in open_)
-        if whole and sum(len(b.text) for b, s in open_ if s) >= COPY_SHARE * whole:
-            shared = [s and b.furniture for b, s in zip(own, shared, strict=True)]
+    for neighbour in neighbours if own else ():
+        common = common_lines(lines, [b.text for b in blocks(neighbour)])
+        if not whole or sum(len(b.text) for b, s in zip(own, common, strict=True) if s and not b.furniture) < COPY_SHARE * whole:
+            shared = common
+            break
     marked = any(b.article and not b.furniture for b in own)
     kept = []
     for b, s in zip(own, shared, strict=True):
@@ -243,8 +244,8 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
 
         def text_of(before: tuple | None, page: tuple, after: tuple | None) -> str:
             near = [x for x in (before, after) if x is not None and x[0] == page[0] and x[1].split("\0")[0] == page[1].split("\0")[0]]
-            best = max(near, key=lambda x: nearness(x[1], page[1]), default=None)
-            return main_text(page[4], None if best is None else best[4] or "")
+            near.sort(key=lambda x: -nearness(x[1], page[1]))
+            return main_text(page[4], *(x[4] or "" for x in near))
 
         def step(after: tuple | None) -> Iterator[tuple]:
             if held[1] is not None and held[1][5]:
