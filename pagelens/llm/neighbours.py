@@ -105,7 +105,8 @@ def choose_probes(x: np.ndarray, index: CrossPolytope, k: int, target: float) ->
     while count < most:
         probes = [index.probes(queries, t, count) for t in range(index.tables)]
         found = [np.any([np.isin(codes[t][near], probes[t][i]) for t in range(index.tables)], axis=0) for i, near in enumerate(nearest)]
-        if np.concatenate(found).mean() >= target:
+        found = np.concatenate(found)
+        if not len(found) or found.mean() >= target:
             break
         count = count + max(1, count // 4)
     return min(count, most)
