@@ -20,6 +20,15 @@ def policy(status: Column, error: Column) -> Column:
     )
 
 
+def policy_of(status: int | None, error: str | None) -> str:
+    """:func:`policy` for one file."""
+    if error is not None or status is None:
+        return "blocked:timeout" if error == "timeout" else "blocked:unreachable"
+    if 400 <= status < 500 and status != 429:
+        return "unrestricted"
+    return "parse" if status == 200 else f"blocked:http_{status}"
+
+
 def parse(body: str, agent: str = AGENT) -> tuple[RobotFileParser | None, float]:
     """The rules of a file and its delay for the agent, else for all; no rules if the file cannot be read."""
     try:

@@ -23,7 +23,7 @@ from pagelens.functions.html import rank_by_zone, read_page
 from pagelens.functions.modeltext import parse_reply, rescue
 from pagelens.functions.urls import host_of, host_suffixes, in_domains, is_document, normalize, start_domain
 from pagelens.operators import candidates as facts
-from pagelens.operators import gates, goals, ranking, verify
+from pagelens.operators import gates, goals, ranking, robots, verify
 from pagelens.operators.pages import CHALLENGE_CHARS, CHALLENGE_MARKERS, CHALLENGE_STATUSES
 
 TOP_LINKS = 30
@@ -99,10 +99,17 @@ Event = tuple[str, str | None, dict]
 
 
 class Crawl:
-    """One crawl: ``run`` yields (type, url, payload) in order."""
+    """One crawl: ``run`` yields (type, url, payload) in order.
 
-    def __init__(self, request: Request, snapshots: dict[str, dict], replies: dict[str, list[Any]], goal: goals.Goal | None = None, blocked: Callable[[str], str | None] = lambda url: None):
+    Preprocessor, ranker, extractor, verifier and the robots test are plug-ins, callables with the defaults' signatures.
+    """
+
+    def __init__(
+        self, request: Request, snapshots: dict[str, dict], replies: dict[str, list[Any]], *, goal: goals.Goal | None = None, blocked: Callable[[str], str | None] = lambda url: None,
+        ranker: Callable = ranking.rank_page, extractor: Callable | None = None, verifier: Callable = verify.check_one,
+    ):
         self.request, self.snapshots, self.blocked = request, snapshots, blocked
+        self.ranker, self.extractor, self.verifier = ranker, extractor or self.facts, verifier
         self.replies = {k: list(v) for k, v in replies.items()}
         self.goal = goal or goals.preprocess(request.goal, request.navigation_hint, today=request.today or date(1970, 1, 1))
         self.state = State()
@@ -182,7 +189,7 @@ class Crawl:
             return
         title, text, links, ranked, scores = self.read(page, here)
         yield "links_ranked", here, {"total_links": len(ranked), "top_links": [{"url": u, "score": v} for u, v in ranked[:TOP_LINKS]]}
-        yield "candidates_extracted", here, {"candidates": [m.value for m in self.facts(text, links)]}
+        yield "candidates_extracted", here, {"candidates": [m.value for m in self.extractor(text, links)]}
         yield "model_evaluating", here, {}
         decision = self.decide(norm, here)
         flags = gates.flags(decision, text, goal.goal_type)
@@ -221,7 +228,7 @@ class Crawl:
     def read(self, page: dict, here: str) -> tuple:
         title, text, raw = read_page(page.get("html"), here)
         links = rank_by_zone(raw)
-        ranked = ranking.rank_page(links, self.goal)
+        ranked = self.ranker(links, self.goal)
         return title, text, links, ranked, {normalize(u): v for u, v in ranked}
 
     def facts(self, text: str, links: list[dict]) -> list[facts.Match]:
@@ -253,7 +260,7 @@ class Crawl:
             size = len(page["raw_bytes"])
             passed, reason = size > 0, "empty_response"
         else:
-            passed, _, reason = verify.check_one(here, page, self.goal.query_terms, self.goal.goal_type, self.request.verification, self.request.verify_threshold)
+            passed, _, reason = self.verifier(here, page, self.goal.query_terms, self.goal.goal_type, self.request.verification, self.request.verify_threshold)
         if not passed:
             raise Skipped(f"binary_document: {reason}")
         yield self.record(here, 1.0, None, "", size)
@@ -267,7 +274,7 @@ class Crawl:
         r, s = self.request, self.state
         s.sent_to_verify += 1
         norm = normalize(url)
-        passed, score, reason = verify.check_one(url, self.snapshots.get(norm), self.goal.query_terms, self.goal.goal_type, r.verification, r.verify_threshold)
+        passed, score, reason = self.verifier(url, self.snapshots.get(norm), self.goal.query_terms, self.goal.goal_type, r.verification, r.verify_threshold)
         s.verified.append({"url": url, "passed": passed, "score": score, "reason": reason})
         if passed:
             yield self.record(url, decision.confidence, decision.answer, text)
@@ -303,9 +310,24 @@ def _plain(value: Any) -> Any:
     return None if value is None or (not isinstance(value, list | tuple | dict) and value is not pd.NaT and value != value) or value is pd.NaT else value
 
 
-def replay_group(crawl_id: str, rows: pd.DataFrame) -> pd.DataFrame:
-    """Events of one crawl from its rows: kind (request, page or reply), norm_url, attempt, body (JSON)."""
-    request, snapshots, replies = None, {}, {}
+def robots_test(files: dict[str, dict]) -> Callable[[str], str | None]:
+    """Why a URL must not be fetched, from robots files by host (status, body, error); a host without one is closed."""
+    rules = {host: robots.parse(f.get("body") or "") for host, f in files.items()}
+
+    def blocked(url: str) -> str | None:
+        host = host_of(url)
+        said = robots.policy_of(files[host].get("status"), files[host].get("error")) if host in files else "blocked:unreachable"
+        if said != "parse":
+            return None if said == "unrestricted" else said
+        found = rules[host][0]
+        return "blocked:unparsable" if found is None else None if found.can_fetch(robots.AGENT, url) else "disallowed"
+
+    return blocked
+
+
+def replay_group(crawl_id: str, rows: pd.DataFrame, **plugins: Any) -> pd.DataFrame:
+    """Events of one crawl from its rows: kind (request, page, reply or robots), norm_url, attempt, body (JSON)."""
+    request, snapshots, replies, files = None, {}, {}, {}
     for kind, norm, attempt, body in rows.sort_values(["kind", "norm_url", "attempt"], na_position="first")[["kind", "norm_url", "attempt", "body"]].itertuples(index=False):
         if kind == "request":
             fields = {k: v for k, v in json.loads(body).items() if v is not None}
@@ -314,15 +336,21 @@ def replay_group(crawl_id: str, rows: pd.DataFrame) -> pd.DataFrame:
             request = Request(**fields)
         elif kind == "page":
             snapshots.setdefault(norm, json.loads(body))
+        elif kind == "robots":
+            files.setdefault(norm, json.loads(body))
         else:
             replies.setdefault(norm, []).append(_plain(body))
-    events = [] if request is None else list(Crawl(request, snapshots, replies).run())
+    if files:
+        plugins.setdefault("blocked", robots_test(files))
+    events = [] if request is None else list(Crawl(request, snapshots, replies, **plugins).run())
     return pd.DataFrame([(crawl_id, i, kind, url, json.dumps(payload, ensure_ascii=False)) for i, (kind, url, payload) in enumerate(events)], columns=["crawl_id", "seq", "type", "url", "payload"])
 
 
-def group_rows(requests: DataFrame, snapshots: DataFrame, replies: DataFrame) -> DataFrame:
+def group_rows(requests: DataFrame, snapshots: DataFrame, replies: DataFrame, robots_files: DataFrame | None = None) -> DataFrame:
     """One table of all that the crawls need: requests, the snapshots in their domains, their replies.
 
+    robots_files (host, status, body, error), if given, close the hosts and paths that they close, and hosts that have none.
+
     requests: the fields of :class:`Request`; snapshots: url, final_url, status, fetch_ms, html, content_length,
     redirects, error; replies: crawl_id, norm_url, attempt, raw. Snapshots meet crawls by an equality join of the host's
     suffixes with the crawls' domains.
@@ -339,16 +367,20 @@ def group_rows(requests: DataFrame, snapshots: DataFrame, replies: DataFrame) ->
     located = located.withColumn("domain", F.explode(host_suffixes(F.expr("lower(try_parse_url(norm_url, 'HOST'))"))))
     seen = located.join(scope, "domain").select("crawl_id", F.lit("page").alias("kind"), "norm_url", F.lit(0).alias("attempt"), F.to_json(F.struct(*known)).alias("body")).dropDuplicates(["crawl_id", "norm_url"])
     said = replies.select("crawl_id", F.lit("reply").alias("kind"), "norm_url", F.col("attempt").cast("int"), F.col("raw").alias("body"))
-    return asked.unionByName(seen).unionByName(said)
+    rows = asked.unionByName(seen).unionByName(said)
+    if robots_files is None:
+        return rows
+    near = robots_files.withColumn("domain", F.explode(host_suffixes(F.col("host")))).join(scope, "domain")
+    return rows.unionByName(near.select("crawl_id", F.lit("robots").alias("kind"), F.col("host").alias("norm_url"), F.lit(0).alias("attempt"), F.to_json(F.struct("status", "body", "error")).alias("body")).dropDuplicates(["crawl_id", "norm_url"]))
 
 
-def crawl_events(requests: DataFrame, snapshots: DataFrame, replies: DataFrame) -> DataFrame:
+def crawl_events(requests: DataFrame, snapshots: DataFrame, replies: DataFrame, robots_files: DataFrame | None = None, **plugins: Any) -> DataFrame:
     """crawl_id, seq, type, url, payload of all crawls; one group is one crawl and must fit in a task's memory."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return replay_group(key[0], rows)
+        return replay_group(key[0], rows, **plugins)
 
-    return group_rows(requests, snapshots, replies).groupBy("crawl_id").applyInPandas(run, EVENT_SCHEMA)
+    return group_rows(requests, snapshots, replies, robots_files).groupBy("crawl_id").applyInPandas(run, EVENT_SCHEMA)
 
 
 RESULT_SCHEMA = (

@@ -157,6 +157,31 @@ def test_crawls_as_tables(tables):
     assert links["x"].urls == [E + "/zebra"] and links["x"].note is None and links["y"].note.startswith("No matching link")
 
 
+def test_robots_and_plugins_in_tables(spark, tables):
+    requests, shots, replies = tables
+    files = spark.createDataFrame([("e.com", 200, "User-agent: *\nDisallow: /zebra", None), ("www2.e.com", 503, None, None)], "host string, status int, body string, error string")
+    got = {r.crawl_id: r for r in crawl.results(crawl.crawl_events(requests, shots, replies, files)).collect()}
+    assert not got["x"].found and got["x"].pages_visited == 1
+    assert crawl.results(crawl.crawl_events(requests, shots, replies, files.filter("host <> 'e.com'"))).filter("pages_visited > 0").count() == 0
+    refused = crawl.crawl_events(requests, shots, replies, verifier=lambda *a: (False, None, "refused"), ranker=lambda links, goal: [(x["url"], 0.0) for x in links])
+    assert {r.failure_mode for r in crawl.results(refused).filter("crawl_id = 'x'").collect()} == {"all_candidates_rejected"}
+
+
+def test_settings(spark):
+    from pagelens.config import settings
+
+    spark.conf.set("spark.pagelens.max_pages", "7")
+    spark.conf.set("spark.pagelens.render_js", "maybe")
+    try:
+        got = settings(spark, max_depth=2, max_results=None)
+        assert (got["max_pages"], got["max_depth"], got["max_results"], got["render_js"]) == (7, 2, 1, False)
+        with pytest.raises(ValueError):
+            settings(spark, colour="red")
+    finally:
+        spark.conf.unset("spark.pagelens.max_pages")
+        spark.conf.unset("spark.pagelens.render_js")
+
+
 def test_crawl_stream(spark, tables, tmp_path):
     from pagelens.streaming.crawls import crawl_stream, event_counts
 
