@@ -8,9 +8,9 @@ the shingles. Orders: rarest first (document frequency over all classes, then ha
 2. Shared shingles: 32-bit remainders of all shingles, cut in ranges of the hash, tell which occur in two documents.
    A batch of documents sends each distinct remainder once, so a shingle of a million documents costs no more than
    the number of batches. Classes with too few shared shingles can have no link and leave.
-3. The first order's prefixes of the others are the index. Every class is checked against the least class of each
-   posting first; that finds most links with one candidate a posting and class. Postings whose classes are not yet
-   in one component then give the remaining pairs, so no link between two components is lost.
+3. The first order's prefixes of the others are the index. Every class is checked first against one leader, that of the
+   postings with which it shares most; that connects most groups with one candidate a class. Postings whose classes
+   are not yet known to be connected then give the remaining pairs, so no link between two components is lost.
 4. A candidate pair must share a token in its prefixes under the other orders too; then the sets are intersected.
 
 Frequencies, prefixes and candidates cover all documents, with no cap. Defined results: null and empty texts and texts
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import drop, save
+from .scratch import arrow_rows, drop, save
 from .shingles import shingle_sets
 from .tokens import arrow_texts, slices
 
@@ -39,6 +39,8 @@ BATCH_BYTES = 6_000_000
 RANGE_SHINGLES = 1_500_000
 #: Rounds in which the classes of a posting are checked against one of them, before all remaining pairs.
 LEADER_ROUNDS = 2
+#: Rows that Python workers are sent at once: whole texts, or the sets of two classes.
+ARROW_ROWS = 1000
 MANY = 0xFFFF
 
 
@@ -162,9 +164,9 @@ def explode_tokens(sets: DataFrame) -> DataFrame:
             for a, b in slices(data, 4_000_000):
                 tokens = np.frombuffer(b"".join(data[a:b]), "<i8")
                 times = np.array([len(x) // 8 for x in data[a:b]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[a:b], times)), pa.array(np.repeat(n[a:b], times)), pa.array(tokens)], names=["node", "n", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[a:b], times)), pa.array(np.repeat(n[a:b], times).astype(np.int32)), pa.array(tokens)], names=["node", "n", "token"])
 
-    return sets.select("node", "n", "tokens").mapInArrow(run, "node long, n long, token long")
+    return sets.select("node", "n", "tokens").mapInArrow(run, "node long, n int, token long")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -194,8 +196,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(links(x, y, percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
-    y = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
+    pairs = save(pairs, "pairs")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = sets.join(named, "node", "left_semi")
+    x = wanted.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
+    y = wanted.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
@@ -214,52 +219,69 @@ def _close(percent: int):
     return (F.col("n") * 100 >= F.col("_n") * percent) & (F.col("_n") * 100 >= F.col("n") * percent)
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The postings that hold classes of two labels or more."""
+    spread = rows.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("token")
+    return rows.join(spread, "token")
+
+
 def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b that connect exactly the classes that links connect (not all links: a spanning part of them)."""
-    found, labels = None, None
+    """Edges a, b that connect exactly the classes that links connect (not all links: a spanning part of them).
+
+    Classes of one label are known to be connected. In a leader round every class is held against one other class, the
+    leader with which it shares the most postings; labels then follow the links found. What postings of several labels
+    are left after that give all their pairs of different labels.
+    """
+    labels = save(sets.select("node", F.col("node").alias("label")), "labels")
+    found = None
     for turn in range(LEADER_ROUNDS):
-        rows = index
-        if labels is not None:
-            rows = index.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = rows.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
-            rows = rows.join(mixed, "token")
-        key = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n")
-        leader = rows.groupBy("token").agg(F.min(key).alias("l")).select("token", F.col("l.node").alias("_node"), F.col("l.n").alias("_n"))
-        pairs = rows.join(leader, "token").filter(F.col("node") != F.col("_node")).filter(_close(percent)).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        new = save(verify(pairs, sets, percent), "links")
+        rows = _mixed(index.join(labels, "node"))
+        key = F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), "node", "n", "label")
+        leader = rows.groupBy("token").agg(F.min(key).alias("l")).select("token", F.col("l.node").alias("_node"), F.col("l.n").alias("_n"), F.col("l.label").alias("_label"))
+        meets = rows.join(leader, "token").filter(F.col("label") != F.col("_label")).filter(_close(percent)).groupBy("node", "_node").agg(F.count("*").alias("times"))
+        chosen = meets.groupBy("node").agg(F.max(F.struct("times", "_node")).alias("c")).select(F.col("node").alias("a"), F.col("c._node").alias("b"))
+        new = save(verify(chosen, sets, percent), "links")
         found = new if found is None else found.union(new)
-        labels = components(found)
-    # what is left: pairs of a posting in two components, at the first token that could be their first common one
-    rows = index.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
-    rows = save(rows.join(mixed, "token"), "open")
-    other = rows.select("token", *(F.col(c).alias("_" + c) for c in ("node", "n", "shared", "position", "component")))
+        here, there = (labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
+        hooks = new.join(here, "a").join(there, "b").select(F.greatest("_a", "_b").alias("label"), F.least("_a", "_b").alias("_to")).filter("label <> _to").groupBy("label").agg(F.min("_to").alias("_to"))
+        labels = save(labels.join(hooks, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+    # a pair is taken at any token that could be its first common one: the overlap that is left must suffice
+    rows = save(_mixed(index.join(labels, "node")), "open")
+    other = rows.select("token", *(F.col(c).alias("_" + c) for c in ("node", "n", "shared", "position", "label")))
     reach = F.least(F.col("shared") - F.col("position"), F.col("_shared") - F.col("_position"))
     overlap = reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
-    pairs = rows.join(other, "token").filter((F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component"))).filter(_close(percent)).filter(overlap)
+    pairs = rows.join(other, "token").filter((F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label"))).filter(_close(percent)).filter(overlap)
     rest = save(verify(pairs.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), sets, percent), "links")
     return found.union(rest)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity percent/100)."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = save(signatures(texts, width), "signatures")
-    total = signed.agg(F.sum("n")).first()[0] or 0
-    classes = save(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node")), "classes")
-    ranges = max(64, 2 * docs.sparkSession.sparkContext.defaultParallelism, int(total) // RANGE_SHINGLES)
-    shared = shared_counts(texts.filter("doc_id IS NOT NULL"), width, ranges)
-    busy = classes.join(shared, classes.node == shared.doc_id).filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "h1", "h2")
-    busy = save(busy, "busy")
-    whole = class_sets(texts.join(busy.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
-    kept = whole.join(busy, (whole.doc_id == busy.node) & (whole.h1 == busy.h1) & (whole.h2 == busy.h2)).select("node", "n", "tokens")
-    sets = save(kept.dropDuplicates(["node", "tokens"]), "sets")
-    index = save(prefixes(sets, percent), "index")
-    labels = components(link_edges(index, sets, percent))
+    with arrow_rows(spark, ARROW_ROWS):
+        signed = save(signatures(texts, width), "signatures")
+        total = signed.agg(F.sum("n")).first()[0] or 0
+        classes = save(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node")), "classes")
+        ranges = max(64, 2 * spark.sparkContext.defaultParallelism, int(total) // RANGE_SHINGLES)
+        shared = shared_counts(texts.filter("doc_id IS NOT NULL"), width, ranges)
+        busy = classes.join(shared, classes.node == shared.doc_id).filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "h1", "h2")
+        busy = save(busy, "busy")
+        whole = class_sets(texts.join(busy.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+        kept = whole.join(busy, (whole.doc_id == busy.node) & (whole.h1 == busy.h1) & (whole.h2 == busy.h2)).select("node", "n", "tokens")
+        sets = save(kept.dropDuplicates(["node", "tokens"]), "sets")
+        index = save(prefixes(sets, percent), "index")
+        edges = link_edges(index, sets, percent)
+        # a doc_id that stands before different texts connects their classes
+        named = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+        again = save(named.filter("lo <> hi").select("doc_id"), "again")
+        if again.limit(1).count():
+            edges = edges.union(signed.join(again, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+        labels = components(edges)
+        for done in (busy, sets, index):
+            drop(spark, done)
     named = classes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("_component"))
-    out = signed.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_component")), F.col("doc_id")).alias("component_id"))
-    drop(docs.sparkSession, busy)
-    return out
+    return signed.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_component")), F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -41,6 +41,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While this holds, actions send Python workers so many rows at a time: a bound on memory where rows are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that :func:`save` returned and that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
