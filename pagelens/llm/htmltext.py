@@ -165,6 +165,10 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
 COPY_SHARE = 0.8
 
 
+#: Pages in a range, about: what one task reads does not grow with the table.
+RANGE_PAGES = 4000
+
+
 def main_text(html: str | None, *neighbours: str) -> str:
     """The article of a page; neighbours are pages of the same host, the nearest first: the first that is no copy counts."""
     own = blocks(html or "")
@@ -213,7 +217,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     keyed = rows.withColumn("key", key)
     # order of pages with equal keys: page_id, then a hash of the page
     keys = save(keyed.select("key", "page_id", F.xxhash64("url", "html").alias("h")), "keys")
-    ranges = ranges or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // RANGE_PAGES)
     total = keys.count()
     if not total:
         return rows.select("page_id", "url", F.lit("").alias("text"))
