@@ -54,11 +54,11 @@ def arrow_rows(spark: SparkSession, rows: int):
 
 
 def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that :func:`save` returned and that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        with contextlib.suppress(OSError):
-            filesystem, inner = pafs.FileSystem.from_uri(path)
-            filesystem.delete_dir(inner)
+    """Delete the files of a table that :func:`save` returned and that no later plan reads, in any store Spark reads."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def filesystem_of(uri: str) -> tuple[pafs.FileSystem, str]:
