@@ -41,6 +41,7 @@ RANGE_SHINGLES = 1_500_000
 LEADER_ROUNDS = 2
 #: Rows that Python workers are sent at once: whole texts, or the sets of two classes.
 ARROW_ROWS = 1000
+BROADCAST_IDS = 2_000_000
 MANY = 0xFFFF
 
 
@@ -170,7 +171,10 @@ def explode_tokens(sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """The index of the first order: token, node, n, shared, position (from 0, rarest first) of every prefix token.
+    """The index of the first order: token, node, n, shared, position (from 0, rarest first), weight of every prefix token.
+
+    A set's weight is the mean document frequency of its tokens: of a group of near copies, the text that the others
+    come from weighs most.
 
     Tokens of one class alone cannot be common; without them a set keeps ``shared`` tokens, of which a partner must
     have ``needed(n)``, so one of the first shared - needed + 1 is common to both.
@@ -179,10 +183,10 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     often = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     known = entries.join(often, "token")
     per = Window.partitionBy("node")
-    known = known.withColumn("shared", F.count("*").over(per))
+    known = known.withColumns({"shared": F.count("*").over(per), "weight": F.sum("df").over(per) / F.col("n")})
     known = known.filter(F.col("shared") >= F.ceil(F.col("n") * percent / 100))
     known = known.withColumn("position", F.row_number().over(per.orderBy("df", "token")) - 1)
-    return known.filter(F.col("position") <= F.col("shared") - F.floor((F.col("n") * percent + 99) / 100)).select("token", "node", "n", "shared", "position")
+    return known.filter(F.col("position") <= F.col("shared") - F.floor((F.col("n") * percent + 99) / 100)).select("token", "node", "n", "shared", "position", "weight")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,15 +233,18 @@ def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges a, b that connect exactly the classes that links connect (not all links: a spanning part of them).
 
     Classes of one label are known to be connected. In a leader round every class is held against one other class, the
-    leader with which it shares the most postings; labels then follow the links found. What postings of several labels
+    leader with which it shares the most postings; a posting's leader is its weightiest class, later a random one. A
+    set that links with any of a group's sets keeps most tokens of the text they come from, so it mostly links with
+    that too. Labels then follow the links found. What postings of several labels
     are left after that give all their pairs of different labels.
     """
     labels = save(sets.select("node", F.col("node").alias("label")), "labels")
     found = None
     for turn in range(LEADER_ROUNDS):
         rows = _mixed(index.join(labels, "node"))
-        key = F.struct(F.xxhash64(F.lit(turn), "label").alias("h"), "node", "n", "label")
-        leader = rows.groupBy("token").agg(F.min(key).alias("l")).select("token", F.col("l.node").alias("_node"), F.col("l.n").alias("_n"), F.col("l.label").alias("_label"))
+        first = F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "label")
+        key = F.struct(first.alias("h"), "node", "n", "label")
+        leader = rows.groupBy("token").agg(F.max(key).alias("l")).select("token", F.col("l.node").alias("_node"), F.col("l.n").alias("_n"), F.col("l.label").alias("_label"))
         meets = rows.join(leader, "token").filter(F.col("label") != F.col("_label")).filter(_close(percent)).groupBy("node", "_node").agg(F.count("*").alias("times"))
         chosen = meets.groupBy("node").agg(F.max(F.struct("times", "_node")).alias("c")).select(F.col("node").alias("a"), F.col("c._node").alias("b"))
         new = save(verify(chosen, sets, percent), "links")
@@ -267,7 +274,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         shared = shared_counts(texts.filter("doc_id IS NOT NULL"), width, ranges)
         busy = classes.join(shared, classes.node == shared.doc_id).filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "h1", "h2")
         busy = save(busy, "busy")
-        whole = class_sets(texts.join(busy.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+        wanted = busy.select(F.col("node").alias("doc_id")).distinct()
+        # ids of 8 bytes: broadcast up to a checked number of them, so whole texts are not shuffled; joined by shuffle beyond
+        wanted = F.broadcast(wanted) if busy.count() <= BROADCAST_IDS else wanted
+        whole = class_sets(texts.join(wanted, "doc_id", "left_semi"), width)
         kept = whole.join(busy, (whole.doc_id == busy.node) & (whole.h1 == busy.h1) & (whole.h2 == busy.h2)).select("node", "n", "tokens")
         sets = save(kept.dropDuplicates(["node", "tokens"]), "sets")
         index = save(prefixes(sets, percent), "index")
