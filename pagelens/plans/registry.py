@@ -188,12 +188,23 @@ x AS (SELECT o_orderkey, CASE WHEN d <= DATE '2010-01-01' + 14 THEN date_diff('d
 SELECT o_orderkey, document_age, coalesce(document_age > 28, false) AS is_stale FROM x
 """)
 def stale_documents(spark, sf_dir):
-    """Ages of documents whose addresses carry the orders' dates."""
+    """Ages of documents whose addresses carry the orders' dates, of the years that addresses are read for."""
     rows = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") >= 2000)
     rows = rows.select("o_orderkey", F.concat(F.lit("https://example.com/bulletins/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("B.pdf")).alias("link_url"))
     return gates.stale_columns(rows, date(2010, 1, 1)).select("o_orderkey", "document_age", "is_stale")
 
 
+@query("""
+WITH a AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders),
+x AS (SELECT o_orderkey, CASE WHEN year(d) BETWEEN 2000 AND 2099 AND d <= DATE '2010-01-01' + 14 THEN date_diff('day', d, DATE '2010-01-01') END AS document_age FROM a)
+SELECT o_orderkey, document_age, coalesce(document_age > 28, false) AS is_stale FROM x
+""")
+def stale_documents_all(spark, sf_dir):
+    """:func:`stale_documents` over every order; years that no address is read for give no age."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("https://example.com/bulletins/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("B.pdf")).alias("link_url"))
+    return gates.stale_columns(rows, date(2010, 1, 1)).select("o_orderkey", "document_age", "is_stale")
+
+
 @query()
 def link_dates(spark, sf_dir):
     """Dates read from links that name the day of shipping in three ways."""
