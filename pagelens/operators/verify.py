@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -150,17 +150,25 @@ def check_one(url: str, snapshot: dict | None, terms: list[str], goal_type: str,
     return score >= bar, score, "ok_relevance" if score >= bar else f"score_below_threshold:{score:.3f}"
 
 
-def page_chunks(pages: DataFrame) -> DataFrame:
-    """page_id, chunk_no, words of every page's visible text, for :func:`bm25_table`."""
-
+def _chunks(pages: DataFrame, column: str, read: Callable[[str], str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, number, words = [], [], []
-            for i, html in enumerate(batch.column(1).to_pylist()):
-                for n, c in enumerate(chunk_tokens(plain_text(html or ""))):
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                for n, c in enumerate(chunk_tokens(read(value or ""))):
                     owner.append(i)
                     number.append(n)
                     words.append(c)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["page_id", "chunk_no", "words"])
 
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, chunk_no int, words array<string>")
+    return pages.select("page_id", column).mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, chunk_no int, words array<string>")
+
+
+def page_chunks(pages: DataFrame) -> DataFrame:
+    """page_id, chunk_no, words of every page's visible text, for :func:`bm25_table`."""
+    return _chunks(pages, "html", plain_text)
+
+
+def text_chunks(texts: DataFrame) -> DataFrame:
+    """page_id, chunk_no, words of every plain text, for :func:`bm25_table`."""
+    return _chunks(texts, "text", str)

@@ -378,12 +378,21 @@ m AS (SELECT doc_id, max(s) AS score FROM s GROUP BY 1)
 SELECT p.doc_id AS page_id, round(coalesce(m.score, 0), 6) AS score FROM p LEFT JOIN m USING (doc_id)
 """)
 def verify_bm25(spark, sf_dir):
+    """Scores of English documents over their lines of MIN_CHUNK characters, which is what the SQL can cut."""
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
     lines = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= verify.MIN_CHUNK)).alias("chunk_no", "chunk"))
     words = F.filter(F.split(F.lower("chunk"), r"\s+"), lambda w: w != "")
     return verify.bm25_table(lines.select("page_id", "chunk_no", words.alias("words")), ["the eran"]).select("page_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def verify_bm25_all(spark, sf_dir):
+    """:func:`verify_bm25` over the documents of all languages, in the operator's own chunks and tokens."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    scores = verify.bm25_table(verify.text_chunks(docs), ["the eran"])
+    return docs.select("page_id").join(scores, "page_id", "left").select("page_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+
+
 @query()
 def verify_ladder(spark, sf_dir):
     shots = snapshots.from_pages(table(spark, sf_dir, "pages")).withColumn("redirect_chain", F.array(F.struct(F.lit(302).alias("status"), F.col("url").alias("url"))))

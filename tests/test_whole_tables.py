@@ -1,5 +1,8 @@
 """Queries named ..._all keep every row of their table, those with no counterpart in the other engine included."""
 
+import pytest
+
+from pagelens.operators import verify
 from pagelens.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +14,18 @@ def test_stale_documents_keep_every_order(spark):
     old = orders.filter("year(o_orderdate) < 2000").select("o_orderkey")
     assert got.count() == orders.count() and old.count() > 0
     assert {(r.document_age, r.is_stale) for r in got.join(old, "o_orderkey").collect()} == {(None, False)}
+
+
+def test_verify_bm25_scores_every_document(spark):
+    docs = {r.doc_id: r for r in registry.table(spark, SF, "documents").collect()}
+    got = {r.page_id: r.score for r in registry.QUERIES["verify_bm25_all"](spark, SF).collect()}
+    assert got.keys() == docs.keys() and any(got[i] > 0 and r.lang != "en" for i, r in docs.items())
+    for i, r in docs.items():
+        assert got[i] == pytest.approx(verify.bm25(r.text or "", ["the eran"]), abs=2e-6)
+
+
+def test_bm25_of_chunks_that_sql_cannot_cut(spark):
+    texts = ["the eran", "short\nthe", "ＴＨＥ eran " * 9 + "\n\n" + "Straße the " * 9, "", None, "\u00a0"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    got = {r.page_id: r.score for r in verify.bm25_table(verify.text_chunks(frame), ["the eran", "STRASSE"]).collect()}
+    assert got == {i: pytest.approx(verify.bm25(texts[i], ["the eran", "STRASSE"])) for i in range(3)}
