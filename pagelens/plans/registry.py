@@ -143,6 +143,18 @@ def text_without_unseen(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", text.strip_unseen_expr(F.col("text")).alias("clean"))
 
 
+@query()
+def text_normal_form_all(spark, sf_dir):
+    """:func:`text_normal_form` over every text; DuckDB has neither NFKC nor case folding."""
+    return table(spark, sf_dir, "benchmark").select("item_id", text.normal_form_udf(F.col("text")).alias("normal"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\x{AD}\\x{200B}-\\x{200F}\\x{2028}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}]', '', 'g') AS clean FROM documents")
+def text_without_unseen_all(spark, sf_dir):
+    """:func:`text_without_unseen` over every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_unseen_expr(F.col("text")).alias("clean"))
+
+
 @query(r"""
 WITH c AS (SELECT conv_id, turn, replace(replace(replace(text, chr(13) || chr(10), ' '), chr(13), ' '), chr(10), ' ') AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN length(t) > 100 THEN substr(t, 1, 88) || ' [truncated]' ELSE t END AS reasoning FROM c

@@ -2,6 +2,7 @@
 
 import pytest
 
+from pagelens.functions import text
 from pagelens.operators import verify
 from pagelens.plans import registry
 
@@ -29,3 +30,21 @@ def test_bm25_of_chunks_that_sql_cannot_cut(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
     got = {r.page_id: r.score for r in verify.bm25_table(verify.text_chunks(frame), ["the eran", "STRASSE"]).collect()}
     assert got == {i: pytest.approx(verify.bm25(texts[i], ["the eran", "STRASSE"])) for i in range(3)}
+
+
+def test_text_queries_keep_every_text(spark):
+    for name, source, key, out, plain in (("text_normal_form_all", "benchmark", "item_id", "normal", text.normal_form), ("text_without_unseen_all", "documents", "doc_id", "clean", text.strip_unseen)):
+        rows = {r[key]: r.text for r in registry.table(spark, SF, source).collect()}
+        got = {r[key]: r[out] for r in registry.QUERIES[name](spark, SF).collect()}
+        assert not all(t.isascii() for t in rows.values())
+        assert got == {k: plain(t) for k, t in rows.items()}
+
+
+def test_texts_that_sql_cannot_fold(spark, tmp_path):
+    odd = ["ＣＥＯ Straße", "so\u00adft ze\u200bro \u2060\ufeffmark", "C1 \x85\x9fend \x7f", "ﬁne\u00a0print\u2003İ", "plain\tASCII\r\n", "", None]
+    frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    frame.withColumnRenamed("doc_id", "item_id").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, key, out, plain in (("text_normal_form_all", "item_id", "normal", text.normal_form), ("text_without_unseen_all", "doc_id", "clean", text.strip_unseen)):
+        got = {r[key]: r[out] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {i: None if t is None else plain(t) for i, t in enumerate(odd)}
