@@ -96,6 +96,15 @@ def page_title(spark, sf_dir):
     return got.join(cut, "page_id").filter("NOT _cut").drop("_cut")
 
 
+@query(r"""
+WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&(quot|lt|gt|amp)$', '&\1;') AS t FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t]+', ' ', 'g')) AS title FROM t
+""")
+def page_title_all(spark, sf_dir):
+    """:func:`page_title` of every page: a reference cut at the end counts if its name is whole, else it is text."""
+    return pages.features(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
 @query(f"WITH {LINKS_SQL} SELECT page_id, text, link_url, 2 AS zone, pos FROM links")
 def page_links(spark, sf_dir):
     return pages.links(table(spark, sf_dir, "pages")).select("page_id", "text", "link_url", "zone", "pos")

@@ -48,3 +48,10 @@ def test_texts_that_sql_cannot_fold(spark, tmp_path):
     for name, key, out, plain in (("text_normal_form_all", "item_id", "normal", text.normal_form), ("text_without_unseen_all", "doc_id", "clean", text.strip_unseen)):
         got = {r[key]: r[out] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {i: None if t is None else plain(t) for i, t in enumerate(odd)}
+
+
+def test_titles_that_end_within_a_reference(spark, tmp_path):
+    want = {"a&amp;&amp": "a&&", "a &am": "a &am", "a&": "a&", "a &lt": "a <", "x&quot": 'x"', "x&amp;lt": "x&lt", "plain": "plain"}
+    spark.createDataFrame([(i, "https://e.com/", f"<html><head><title>{t}</title></head><body>b</body></html>") for i, t in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.title for r in registry.QUERIES["page_title_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
