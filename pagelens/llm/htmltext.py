@@ -2,10 +2,14 @@
 
 A page is cut into text blocks in page order. Containers that hold no article text (menus, page headers and footers,
 sidebars, notices, adverts, forms, comments, scripts, styles) are known by element, role, or a word of their class or
-id. Pages of a host are ordered by URL path; each is aligned, block by block, with the nearer of its two neighbours by
-longest common subsequence (with the other if that one is a copy). Blocks both have are page furniture and are deleted, unless the page's markup says that
-they are article text (inside ``article`` or ``main`` and not mostly links): copies of an article keep their text. A
-neighbour that shares nearly all text is a copy and says nothing about furniture.
+id. Pages of a host are ordered by URL path; each is aligned, block by block, with the nearer of the two pages beside it
+whose text is not equal to its own, by longest common subsequence (with the other if that one is a copy). Blocks both
+have are page furniture and are deleted, unless the page's markup says that they are article text (inside ``article`` or
+``main`` and not mostly links): copies of an article keep their text.
+
+A copy says nothing about furniture. It shares most of the text, and the lines that differ tell it from another article
+in the same long template: those of a copy are missing on one side, or have nearly the same words (numbers aside). A
+page that shares less is taken before one that shares so much; where both share so much, what all of them have goes.
 
 Defined results: null and empty html give an empty text; a null URL is its own host; pages that repeat a URL are
 neighbours; an empty table gives no rows.
@@ -15,12 +19,14 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +54,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 _SPACE = re.compile(r"\s+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
@@ -161,7 +168,8 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return shared
 
 
-#: Of the text of two pages' candidates, the share in common from which one is a copy of the other.
+#: Of the text of two pages, the share in common from which one may be a copy of the other; of the words in the lines
+#: that differ, the share in common from which it is one.
 COPY_SHARE = 0.8
 
 
@@ -169,17 +177,28 @@ COPY_SHARE = 0.8
 RANGE_PAGES = 4000
 
 
-def main_text(html: str | None, *neighbours: str) -> str:
-    """The article of a page; neighbours are pages of the same host, the nearest first: the first that is no copy counts."""
-    own = blocks(html or "")
+def _is_copy(own: list[Block], shared: list[bool], other: list[Block]) -> bool:
+    """Whether the lines that differ between two pages that share most text are those of an edited copy."""
+    mine = Counter(b.text for b, s in zip(own, shared, strict=True) if not s and not b.furniture)
+    theirs = Counter(b.text for b in other if not b.furniture) - Counter(b.text for b, s in zip(own, shared, strict=True) if s)
+    x, y = (Counter(w for t, n in lines.items() for w in _LETTERS.findall(t.lower()) * n) for lines in (mine, theirs))
+    return not x or not y or (x & y).total() >= COPY_SHARE * max(x.total(), y.total())
+
+
+def _article(own: list[Block], *neighbours: list[Block]) -> str:
     lines = [b.text for b in own]
     whole = sum(len(b.text) for b in own if not b.furniture)
-    shared = [False] * len(own)
+    shared, close = [False] * len(own), []
     for neighbour in neighbours if own else ():
-        common = common_lines(lines, [b.text for b in blocks(neighbour)])
+        common = common_lines(lines, [b.text for b in neighbour])
         if not whole or sum(len(b.text) for b, s in zip(own, common, strict=True) if s and not b.furniture) < COPY_SHARE * whole:
             shared = common
             break
+        if not _is_copy(own, common, neighbour):
+            close.append(common)
+    else:
+        if close:
+            shared = [all(x) for x in zip(*close, strict=True)]
     marked = any(b.article and not b.furniture for b in own)
     kept = []
     for b, s in zip(own, shared, strict=True):
@@ -189,6 +208,16 @@ def main_text(html: str | None, *neighbours: str) -> str:
     return " ".join(kept)
 
 
+def main_text(html: str | None, *neighbours: str) -> str:
+    """The article of a page; neighbours are pages of the same host, the nearest first: the first that is no copy counts."""
+    return _article(blocks(html or ""), *(blocks(n) for n in neighbours))
+
+
+def _print(own: list[Block]) -> int:
+    """Equal for pages whose text outside known furniture is equal."""
+    return xxhash.xxh3_64_intdigest("\0".join(b.text for b in own if not b.furniture)) - (1 << 63)
+
+
 def _segments(path: str) -> list[str]:
     return [x for x in path.split("/") if x]
 
@@ -203,11 +232,42 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
+@dataclass
+class _Page:
+    site: tuple[int, str]
+    key: str
+    page_id: int | None
+    url: str | None
+    blocks: list[Block]
+    print: int
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, page_id, h of rows with a html, and t: equal for equal texts."""
+    for batch in batches:
+        t = [_print(blocks(h.as_py() or "")) for h in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(t, pa.int64())], names=["key", "page_id", "h", "t"])
+
+
+def _lent(edges: list, i: int) -> Iterator:
+    """What range i needs of others: of the pages before and after it on its first and last host, the nearest two with different texts."""
+    for end, far, way in (("hi", "lo", range(i - 1, -1, -1)), ("lo", "hi", range(i + 1, len(edges)))):
+        site, seen = edges[i][far]["key"].split("\0")[0], set()
+        for k in way:
+            for x in (edges[k][end], edges[k][f"{end}2"]):
+                if x is not None and x["key"].split("\0")[0] == site and x["t"] not in seen and len(seen) < 2:
+                    seen.add(x["t"])
+                    yield x
+            if len(seen) == 2 or edges[k][far]["key"].split("\0")[0] != site:
+                break
+
+
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """page_id, url, text of every page.
 
-    Pages are cut into ranges of (host, path, page_id) by sampled bounds; the first and last page of each range are
-    sent to the range beside it too, so neighbours do not depend on the cut and a host may fill many ranges.
+    Pages are cut into ranges of (host, path, page_id) by sampled bounds. On each side a range is also sent the two
+    nearest pages of the same host with different texts, from however far, so neighbours do not depend on the cut: one
+    of them differs from any page. A host may fill many ranges.
     """
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
@@ -216,7 +276,8 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     key = F.concat(host, F.lit("\0"), path)
     keyed = rows.withColumn("key", key)
     # order of pages with equal keys: page_id, then a hash of the page
-    keys = save(keyed.select("key", "page_id", F.xxhash64("url", "html").alias("h")), "keys")
+    full = keyed.withColumn("h", F.xxhash64("url", "html"))
+    keys = save(full.select("key", "page_id", "h", "html").mapInArrow(_prints, "key string, page_id long, h long, t long"), "keys")
     ranges = ranges or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // RANGE_PAGES)
     total = keys.count()
     if not total:
@@ -231,38 +292,52 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
 
     place = F.pandas_udf(number, "int")
 
-    order = F.struct("key", "page_id", "h")
-    edges = keys.withColumn("place", place("key", "page_id")).groupBy("place").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).orderBy("place").collect()
-    extra = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        extra += [(b["place"], *a["hi"]), (a["place"], *b["lo"])]
+    order = F.struct("key", "page_id", "h", "t")
+    placed = keys.withColumn("place", place("key", "page_id"))
+    ends = placed.groupBy("place").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    # beside the first and last page of a range, the nearest of the same host with another text: two rows a range
+    other = lambda end: (F.substring_index("key", "\0", 1) == F.substring_index(f"{end}.key", "\0", 1)) & (F.col("t") != F.col(f"{end}.t"))
+    inner = placed.join(F.broadcast(ends), "place").groupBy("place", "lo", "hi").agg(F.min(F.when(other("lo"), order)).alias("lo2"), F.max(F.when(other("hi"), order)).alias("hi2"))
+    edges = inner.orderBy("place").collect()
+    extra = [(edges[i]["place"], x["key"], x["page_id"], x["h"]) for i in range(len(edges)) for x in _lent(edges, i)]
     halo = spark.createDataFrame(extra, "place int, key string, page_id long, h long") if extra else None
-    full = keyed.withColumn("h", F.xxhash64("url", "html"))
     own = full.withColumn("place", place("key", "page_id")).withColumn("own", F.lit(True))
-    if halo is not None:  # two rows a range
+    if halo is not None:  # four rows a range at most
         lent = full.alias("f").join(F.broadcast(halo).alias("e"), (F.col("f.key") == F.col("e.key")) & (F.col("f.h") == F.col("e.h")) & F.col("f.page_id").eqNullSafe(F.col("e.page_id")))
         own = own.unionByName(lent.select("f.*", "e.place").withColumn("own", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple | None] = [None, None]  # the page before, the page itself
-
-        def text_of(before: tuple | None, page: tuple, after: tuple | None) -> str:
-            near = [x for x in (before, after) if x is not None and x[0] == page[0] and x[1].split("\0")[0] == page[1].split("\0")[0]]
-            near.sort(key=lambda x: -nearness(x[1], page[1]))
-            return main_text(page[4], *(x[4] or "" for x in near))
-
-        def step(after: tuple | None) -> Iterator[tuple]:
-            if held[1] is not None and held[1][5]:
-                yield held[1][2], held[1][3], text_of(held[0], held[1], after)
+        last: list[_Page | None] = [None, None]  # the last page, and the last one before it with another text
+        waiting: list[tuple[_Page, _Page | None]] = []  # pages with the last page's text, and what stands before each
+
+        def finish(after: _Page | None) -> Iterator[tuple]:
+            for page, before in waiting:
+                near = [x for x in (before, after) if x is not None]
+                near.sort(key=lambda x: -nearness(x.key, page.key))
+                yield page.page_id, page.url, _article(page.blocks, *(x.blocks for x in near))
+            waiting.clear()
+
+        def step(page: _Page, own: bool) -> Iterator[tuple]:
+            if last[0] is not None and last[0].site != page.site:
+                yield from finish(None)
+                last[:] = None, None
+            if last[0] is not None and last[0].print != page.print:
+                yield from finish(page)
+                last[1] = last[0]
+            elif last[0] is not None and last[0].blocks == page.blocks:
+                page.blocks = last[0].blocks  # a run of copies is held once
+            last[0] = page
+            if own:
+                waiting.append((page, last[1]))
 
         for batch in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += step(row)
-                held[:] = held[1], row
+            for place, key, page_id, url, html, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = blocks(html or "")
+                out += step(_Page((place, key.split("\0")[0]), key, page_id, url, found, _print(found)), own)
             if out:
                 yield _batch(out)
-        out = list(step(None))
+        out = list(finish(None))
         if out:
             yield _batch(out)
 
