@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -229,6 +229,18 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(spread, "token")
 
 
+def posting_pairs(rows: DataFrame, percent: int, wanted: Column) -> DataFrame:
+    """The distinct pairs a < b of classes that meet in a posting and may link; ``wanted`` names the partner's columns with _.
+
+    A pair is taken at any token that could be its first common one: the overlap that is left must suffice.
+    """
+    other = rows.select("token", *(F.col(c).alias("_" + c) for c in rows.columns if c not in ("token", "weight")))
+    reach = F.least(F.col("shared") - F.col("position"), F.col("_shared") - F.col("_position"))
+    overlap = reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
+    pairs = rows.join(other, "token").filter(F.col("node") < F.col("_node")).filter(wanted).filter(_close(percent)).filter(overlap)
+    return pairs.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+
+
 def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges a, b that connect exactly the classes that links connect (not all links: a spanning part of them).
 
@@ -252,46 +264,90 @@ def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         here, there = (labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
         hooks = new.join(here, "a").join(there, "b").select(F.greatest("_a", "_b").alias("label"), F.least("_a", "_b").alias("_to")).filter("label <> _to").groupBy("label").agg(F.min("_to").alias("_to"))
         labels = save(labels.join(hooks, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
-    # a pair is taken at any token that could be its first common one: the overlap that is left must suffice
     rows = save(_mixed(index.join(labels, "node")), "open")
-    other = rows.select("token", *(F.col(c).alias("_" + c) for c in ("node", "n", "shared", "position", "label")))
-    reach = F.least(F.col("shared") - F.col("position"), F.col("_shared") - F.col("_position"))
-    overlap = reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
-    pairs = rows.join(other, "token").filter((F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label"))).filter(_close(percent)).filter(overlap)
-    rest = save(verify(pairs.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct(), sets, percent), "links")
+    rest = save(verify(posting_pairs(rows, percent, F.col("label") != F.col("_label")), sets, percent), "links")
     return found.union(rest)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity percent/100)."""
+def _classes(docs: DataFrame, width: int, percent: int, apart: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of the documents, classes (node, first, h1, h2, n), and the sets and the index of classes that may link.
+
+    first is a class's smallest doc_id and its node. Where rows repeat a doc_id, classes may have one node in common,
+    which is enough for what is connected; with ``apart`` each has a node of its own, and its size.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with arrow_rows(spark, ARROW_ROWS):
-        signed = save(signatures(texts, width), "signatures")
-        total = signed.agg(F.sum("n")).first()[0] or 0
-        classes = save(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node")), "classes")
-        ranges = max(64, 2 * spark.sparkContext.defaultParallelism, int(total) // RANGE_SHINGLES)
-        shared = shared_counts(texts.filter("doc_id IS NOT NULL"), width, ranges)
-        busy = classes.join(shared, classes.node == shared.doc_id).filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "h1", "h2")
-        busy = save(busy, "busy")
-        wanted = busy.select(F.col("node").alias("doc_id")).distinct()
-        # ids of 8 bytes: broadcast up to a checked number of them, so whole texts are not shuffled; joined by shuffle beyond
-        wanted = F.broadcast(wanted) if busy.count() <= BROADCAST_IDS else wanted
-        whole = class_sets(texts.join(wanted, "doc_id", "left_semi"), width)
-        kept = whole.join(busy, (whole.doc_id == busy.node) & (whole.h1 == busy.h1) & (whole.h2 == busy.h2)).select("node", "n", "tokens")
-        sets = save(kept.dropDuplicates(["node", "tokens"]), "sets")
-        index = save(prefixes(sets, percent), "index")
-        edges = link_edges(index, sets, percent)
-        # a doc_id that stands before different texts connects their classes
-        named = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
-        again = save(named.filter("lo <> hi").select("doc_id"), "again")
-        if again.limit(1).count():
-            edges = edges.union(signed.join(again, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-        labels = components(edges)
-        for done in (busy, sets, index):
-            drop(spark, done)
-    named = classes.join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("_component"))
-    return signed.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_component")), F.col("doc_id")).alias("component_id"))
+    signed = save(signatures(texts, width), "signatures")
+    total = signed.agg(F.sum("n")).first()[0] or 0
+    same = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n")
+    if apart:
+        classes = save(same.agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    else:
+        classes = save(same.agg(F.min("doc_id").alias("node")), "classes").withColumn("first", F.col("node"))
+    ranges = max(64, 2 * spark.sparkContext.defaultParallelism, int(total) // RANGE_SHINGLES)
+    shared = shared_counts(texts.filter("doc_id IS NOT NULL"), width, ranges)
+    busy = classes.join(shared, classes["first"] == shared.doc_id).filter(F.col("shared") * 100 >= F.col("n") * percent).select("node", "first", "h1", "h2")
+    busy = save(busy, "busy")
+    wanted = busy.select(F.col("first").alias("doc_id")).distinct()
+    # ids of 8 bytes: broadcast up to a checked number of them, so whole texts are not shuffled; joined by shuffle beyond
+    wanted = F.broadcast(wanted) if busy.count() <= BROADCAST_IDS else wanted
+    whole = class_sets(texts.join(wanted, "doc_id", "left_semi"), width)
+    kept = whole.join(busy, (whole.doc_id == busy["first"]) & (whole.h1 == busy.h1) & (whole.h2 == busy.h2)).select("node", "n", "tokens")
+    sets = save(kept.dropDuplicates(["node", "tokens"]), "sets")
+    index = save(prefixes(sets, percent), "index")
+    drop(spark, busy)
+    return signed, classes, sets, index
+
+
+def _labelled(signed: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """classes with _component; edges are between their first doc_ids."""
+    # a doc_id that stands before different texts connects their classes
+    named = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+    again = save(named.filter("lo <> hi").select("doc_id"), "again")
+    if again.limit(1).count():
+        edges = edges.union(signed.join(again, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    labels = components(edges)
+    return classes.join(labels.withColumnRenamed("node", "first"), "first", "left").withColumn("_component", F.coalesce("component", "first"))
+
+
+def _component_id() -> Column:
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_component")), F.col("doc_id")).alias("component_id")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity percent/100)."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        signed, classes, sets, index = _classes(docs, width, percent)
+        named = _labelled(signed, classes, link_edges(index, sets, percent))
+        for done in (sets, index):
+            drop(docs.sparkSession, done)
+    return signed.join(named.select("h1", "h2", "n", "_component"), ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), _component_id())
+
+
+def class_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links of the join: signatures of the documents (doc_id, n, h1, h2), classes (node, first, size, h1, h2, n)
+    and every pair a < b of classes that link, each pair once. Every candidate pair of classes is verified, those of
+    connected groups too, so the pairs of a large group of near copies grow with the square of its different texts."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        signed, classes, sets, index = _classes(docs, width, percent, apart=True)
+        found = save(verify(posting_pairs(index, percent, F.lit(True)), sets, percent), "links")
+        for done in (sets, index):
+            drop(docs.sparkSession, done)
+    return signed, classes, found
+
+
+def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id; n_links: other rows whose texts link with the row's, equal texts
+    among them. Components follow from all links."""
+    signed, classes, found = class_links(docs, width, percent)
+    both = found.union(found.select("b", "a"))
+    beside = both.join(classes.select(F.col("node").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("beside"))
+    here, there = (classes.select(F.col("node").alias(c), F.col("first").alias(f"_{c}")) for c in "ab")
+    edges = found.join(here, "a").join(there, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    counted = _labelled(signed, classes, edges).join(beside.withColumnRenamed("a", "node"), "node", "left")
+    counted = counted.select("h1", "h2", "n", "_component", (F.col("size") - 1 + F.coalesce("beside", F.lit(0))).alias("_links"))
+    links_of = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("_links")), F.lit(0)).alias("n_links")
+    return signed.join(counted, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), links_of, _component_id())
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -43,6 +43,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=80)
 
 
+def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of op5 with every link verified and counted."""
+    return jaccard.jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, percent=80)
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op5_ngram_jaccard_links": op5_ngram_jaccard_links,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_source_mixing": op7_source_mixing,
     "op8_warc_index": op8_warc_index,
