@@ -4,11 +4,12 @@ Each id is replaced by its rank (0: the most frequent id of the whole corpus), s
 block of ranks is stored as control bytes (two bits an id: its length in bytes less one, four ids a byte) followed by
 the data bytes; numpy decodes a block by looking the control bytes up in a table of lengths.
 
-File: magic, blocks, a table of the documents (doc_id, ids), and a trailer that says where that table starts.
+File: magic, blocks, a table of the documents (doc_id, ids; the complement of ids for a null doc_id), and a trailer that
+says where that table starts.
 ``ranks.bin`` beside the files holds the id of every rank as unsigned 32-bit integers.
 
-Defined results: null text is empty and has the end id alone; a null doc_id is refused (the files are in doc_id order);
-rows that repeat a doc_id each get their own entry, in order of their ids' bytes; an empty table makes no files.
+Defined results: null text is empty and has the end id alone; null doc_ids come first in the files with
+``null_ids`` and are refused without; rows that repeat a doc_id each get their own entry, in order of their ids' bytes; an empty table makes no files.
 """
 
 from __future__ import annotations
@@ -100,8 +101,8 @@ def id_counts(encoded: DataFrame, size: int) -> np.ndarray:
     return counts
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS) -> tuple[str, list[dict]]:
-    """Write the files in ascending doc_id order; returns their folder's URI and one entry a file, in order.
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int = SHARD_IDS, *, null_ids: bool = False) -> tuple[str, list[dict]]:
+    """Write the files in ascending doc_id order (null first, if ``null_ids`` allows it); returns their folder's URI and one entry a file, in order.
 
     Entries: path, ids, documents, bytes, start (ids in all files before it). There is one entry for about
     ``shard_ids`` ids, so the list stays small at any size.
@@ -112,7 +113,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int
     size = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     encoded = save(encode_documents(docs, tokenizer_path, end_id), "ids")
     counts = id_counts(encoded, size)
-    if encoded.filter("doc_id IS NULL").limit(1).count():
+    if not null_ids and encoded.filter("doc_id IS NULL").limit(1).count():
         raise ValueError("write_ids: doc_id is null")
     by_rank = np.argsort(-counts, kind="stable").astype(np.uint32)
     rank_of = np.empty(size, np.uint32)
@@ -149,8 +150,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int
                     out = filesystem.open_output_stream(temporary)
                     out.write(MAGIC)
                 part = ranks.value[np.frombuffer(ids, f"<u{width}")]
-                names.append(doc)
-                lengths.append(len(part))
+                names.append(0 if doc is None else doc)
+                lengths.append(~len(part) if doc is None else len(part))
                 held.append(part)
                 n_held += len(part)
                 total += len(part)
@@ -174,7 +175,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int
     return folder, entries
 
 
-def read_file(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
+def read_file(path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """doc_id, ids before it in the file, and ids of each document of one file; one block is held at a time."""
     filesystem, inner = filesystem_of(path)
     with filesystem.open_input_file(f"{inner.rsplit('/', 1)[0]}/ranks.bin") as source:
@@ -190,6 +191,7 @@ def read_file(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
         source.seek(len(MAGIC))
         held, start = np.zeros(0, np.uint32), 0
         for doc, length in zip(names.tolist(), lengths.tolist(), strict=True):
+            doc, length = (None, ~length) if length < 0 else (doc, length)
             parts, have = [held], len(held)
             while have < length:
                 count, n_control, n_data = struct.unpack(_BLOCK, source.read(struct.calcsize(_BLOCK)))
@@ -209,6 +211,9 @@ def read_ids(spark, entries: list[dict], *, digest: bool = False) -> DataFrame:
     if not entries:
         return spark.createDataFrame([], schema)
 
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", last.split()[0]]).assign(doc_id=pd.array([r[0] for r in rows], "Int64"))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, base in zip(frame["path"], frame["start"], strict=True):
@@ -216,10 +221,10 @@ def read_ids(spark, entries: list[dict], *, digest: bool = False) -> DataFrame:
                 for doc, start, ids in read_file(path):
                     rows.append((doc, int(base) + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids.astype(np.int64)))
                     if len(rows) == 4096:
-                        yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", last.split()[0]])
+                        yield made(rows)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", last.split()[0]])
+                    yield made(rows)
 
     files = spark.createDataFrame([(e["path"], e["start"]) for e in entries], "path string, start long")
     return files.repartition(len(entries)).mapInPandas(run, schema)

@@ -73,7 +73,7 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, entries = idfiles.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), 1)
+    _, entries = idfiles.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer(), 1, null_ids=True)
     return idfiles.read_ids(spark, entries, digest=True).select("doc_id", "start", F.col("n_tokens"), "ids_crc32")
 
 
