@@ -2,7 +2,8 @@
 
 The plan is made from the histogram of piece lengths alone, so its size depends on the capacity and not on the corpus:
 large lengths are rounded up within groups of equal cardinality, the configurations of those few sizes are optimised by
-column generation, actual pieces take the places of the rounded ones, and the rest is placed best-fit, longest first.
+column generation and hold every large piece, actual pieces take the places of the rounded ones, and the small ones are
+placed best-fit, longest first, together with those for which a configuration's last place is kept.
 A plan is a list of runs: so many pieces of one length, from a rank on, go to consecutive sequences at one offset. Each
 piece finds its place from its length and its rank among the pieces of that length.
 """
@@ -23,9 +24,8 @@ from .scratch import save
 from .tokens import arrow_texts, encoder, slices
 
 #: Lengths over this share of the capacity are grouped; the others are small.
-LARGE = 1 / 6
-GROUPS = 32
-MAX_COLUMNS = 400
+LARGE = 1 / 3
+GROUPS = 48
 #: Ranks within a length are counted in so many buckets, and in one more for every BUCKET_ROWS pieces.
 BUCKETS = 256
 BUCKET_ROWS = 50_000
@@ -49,35 +49,43 @@ def groups_of(counts: np.ndarray, large: int, groups: int) -> list[list[tuple[in
 
 
 def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each size fill the capacity with the greatest value (unbounded knapsack)."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    for c in range(int(sizes.min()), capacity + 1):
-        fits = sizes <= c
-        found = np.where(fits, best[c - np.where(fits, sizes, 0)] + values, -1.0)
-        k = int(found.argmax())
-        best[c], last[c] = (found[k], k) if found[k] > best[c - 1] + 1e-12 else (best[c - 1], -1)
+    """How many of each size fill the capacity with the greatest value (unbounded knapsack, one item more a step)."""
+    room = np.arange(capacity + 1)[:, None] - sizes
+    fits, room = room >= 0, np.maximum(room, 0)
+    best, picks = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(sizes.min())):
+        found = np.where(fits, best[room] + values, 0.0)
+        pick = found.argmax(axis=1)
+        more = found[np.arange(capacity + 1), pick]
+        better = more > best + 1e-12
+        if not better.any():
+            break
+        picks.append(np.where(better, pick, -1))
+        best = np.where(better, more, best)
     out, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            out[last[c]] += 1
-            c -= int(sizes[last[c]])
+    for pick in reversed(picks):
+        if pick[c] >= 0:
+            out[pick[c]] += 1
+            c -= int(sizes[pick[c]])
     return out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations of a few sizes and how often to use each: column generation, then rounding down."""
+def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often to use each, fractions allowed, by column generation; the most used first.
+
+    A column that comes a second time ends the search (a degenerate cycle), so it ends without a limit on columns.
+    """
     m = len(sizes)
     fill = capacity // sizes
     basis = np.diag(fill).astype(float)
     use = demand / fill
-    for _ in range(MAX_COLUMNS):
+    seen: set[tuple] = set()
+    while True:
         prices = np.linalg.solve(basis.T, np.ones(m))
         column = best_configuration(sizes, np.maximum(prices, 0), capacity)
-        if column @ prices <= 1 + 1e-7:
+        if column @ prices <= 1 + 1e-7 or tuple(column) in seen:
             break
+        seen.add(tuple(column))
         step = np.linalg.solve(basis, column.astype(float))
         leaves = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
         out = int(leaves.argmin())
@@ -86,15 +94,41 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
         use = np.maximum(use - leaves[out] * step, 0)
         use[out] = leaves[out]
         basis[:, out] = column
-    left = demand.astype(np.int64).copy()
-    found = []
-    for k in np.argsort(-use):
-        column = basis[:, k].astype(np.int64)
-        needed = column > 0
-        times = int(min(use[k] + 1e-6, (left[needed] // column[needed]).min())) if needed.any() else 0
-        if times > 0:
-            found.append((column, times))
-            left -= column * times
+    return [(basis[:, k].astype(np.int64), float(use[k])) for k in np.argsort(-use, kind="stable")]
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Configurations of a few sizes and how often to use each; together they hold the whole demand.
+
+    Whole parts of the relaxed solution are taken and the rest of the demand is solved again; where no whole part is
+    left, the configurations used half or more (the most used one at least) are taken once, as far as the demand goes.
+    """
+    left, found = demand.astype(np.int64).copy(), []
+    while left.any():
+        open_ = np.flatnonzero(left)
+        solved = relaxed(sizes[open_], left[open_], capacity)
+        whole = any(use >= 1 - 1e-6 for _, use in solved)
+        taken = False
+        for part, use in solved:
+            column = np.zeros(len(sizes), np.int64)
+            column[open_] = part
+            if not whole and (not taken or use >= 0.5):
+                column = np.minimum(column, left)
+            needed = column > 0
+            if not needed.any():
+                continue
+            fit = int((left[needed] // column[needed]).min())
+            times = min(int(use + 1e-6), fit) if whole else min(1, fit) if not taken or use >= 0.5 else 0
+            if times > 0:
+                found.append((column, times))
+                left -= column * times
+                taken = True
+        if not taken:  # whole parts overlap by rounding: one of the most used, cut to the demand
+            column = np.zeros(len(sizes), np.int64)
+            column[open_] = solved[0][0]
+            column = np.minimum(column, left)
+            found.append((column, 1))
+            left -= column
     return found
 
 
@@ -150,15 +184,17 @@ class _Plan:
             self.keep(room, sequence, have)
 
 
-def make_plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> tuple[np.ndarray, int]:
+def make_plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, share: float = LARGE) -> tuple[np.ndarray, int]:
     """Placements (length, first rank, pieces, first sequence, offset) and the number of sequences.
 
-    ``counts[n]`` is the number of pieces of length n. Without groups the plan is best-fit alone; the better of that
-    and the grouped plan is what :func:`plan` takes.
+    ``counts[n]`` is the number of pieces of length n; lengths over that share of the capacity are large. The configurations open the sequences of all large pieces and
+    place the pieces that lead them; the last place of a configuration of several goes to whichever piece fits the
+    actual room best (rounding leaves gaps there that no small piece is small enough for). Best-fit, longest first,
+    places those and the small ones. Without groups the plan is best-fit alone, for comparison in tests.
     """
     plan = _Plan(capacity)
     left = counts.astype(np.int64).copy()
-    large = int(capacity * LARGE)
+    large = int(capacity * share)
     runs = groups_of(counts, large, groups) if groups else []
     if runs:
         sizes = np.array([r[0][0] for r in runs])
@@ -170,20 +206,20 @@ def make_plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> tuple[
             stock[k].extend(r)
         for column, times in configurations(distinct, wanted, capacity):
             parts = [(plan.new(times), times, 0)]  # (first sequence, sequences, filled)
-            for k in np.flatnonzero(column)[::-1]:
-                for _ in range(column[k]):
-                    nxt = []
-                    for sequence, n, filled in parts:
-                        while n:
-                            length, have = stock[k].pop(0)
-                            take = min(n, have)
-                            if have > take:
-                                stock[k].insert(0, (length, have - take))
-                            plan.place(length, take, sequence, filled)
-                            nxt.append((sequence, take, filled + length))
-                            left[length] -= take
-                            sequence, n = sequence + take, n - take
-                    parts = nxt
+            slots = np.repeat(np.arange(len(column)), column)[::-1]
+            for k in slots[: max(1, len(slots) - 1)]:  # the last place stays open for the piece that fits it best
+                nxt = []
+                for sequence, n, filled in parts:
+                    while n:
+                        length, have = stock[k].pop(0)
+                        take = min(n, have)
+                        if have > take:
+                            stock[k].insert(0, (length, have - take))
+                        plan.place(length, take, sequence, filled)
+                        nxt.append((sequence, take, filled + length))
+                        left[length] -= take
+                        sequence, n = sequence + take, n - take
+                parts = nxt
             for sequence, n, filled in parts:
                 plan.keep(capacity - filled, sequence, n)
     for length in range(capacity, 0, -1):
@@ -192,11 +228,6 @@ def make_plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> tuple[
     return np.array(plan.rows, np.int64).reshape(-1, 5), plan.sequences
 
 
-def plan(counts: np.ndarray, capacity: int, groups: int = GROUPS) -> tuple[np.ndarray, int]:
-    """The grouped plan, or plain best-fit where that needs fewer sequences."""
-    return min((make_plan(counts, capacity, g) for g in (groups, 0)), key=lambda p: p[1])
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, separator_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the separator, cut at the capacity only."""
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -221,23 +252,25 @@ def place(cut: DataFrame, capacity: int, groups: int = GROUPS) -> DataFrame:
     """Add sequence_id and offset to a table of pieces with a column length (1 to the capacity).
 
     Ranks within a length are counted in buckets of the doc_id's hash, so a length that a third of all pieces share is
-    spread over many tasks; the table of first ranks has one row a length and bucket.
+    spread over many tasks; the table of first ranks has one row a length and bucket. A stored column ``_salt``, if
+    there is one, spreads rows that are alike, too.
     """
     spark = cut.sparkSession
     counts = np.zeros(capacity + 1, np.int64)
     for row in cut.groupBy("length").count().collect():  # a row for each length up to the capacity
         counts[row["length"]] = row["count"]
     buckets = BUCKETS + int(counts.sum()) // BUCKET_ROWS
-    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    salt = [c for c in ("_salt",) if c in cut.columns]
+    keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *salt), F.lit(buckets)))
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     ranked = keyed.withColumn("_row", F.row_number().over(within) - 1).join(first, ["length", "_bucket"]).withColumn("_rank", F.col("_first") + F.col("_row"))
 
-    rows, _ = plan(counts, capacity, groups)
+    rows, _ = make_plan(counts, capacity, groups)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     shared = spark.sparkContext.broadcast(rows)  # its rows depend on the capacity, not on the number of pieces
-    kept = cut.columns
+    kept = [c for c in cut.columns if c not in salt]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -247,7 +280,7 @@ def place(cut: DataFrame, capacity: int, groups: int = GROUPS) -> DataFrame:
             at = np.searchsorted(key, (length << 44) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])], names=[*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*kept).schema) + ", sequence_id long, offset long"
     return ranked.select(*kept, "_rank").mapInArrow(run, schema)
 
 
@@ -255,6 +288,8 @@ def pack(docs: DataFrame, tokenizer_path: str, separator_id: int = 0, capacity:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are a piece of the separator alone. A null doc_id is kept. Rows that repeat a doc_id are packed
-    each for itself. An empty table gives no rows. Columns other than doc_id and text are not read.
+    each for itself. An empty table gives no rows. Columns other than doc_id and text are not read. Long texts are many
+    pieces; workers hold one slice of texts at a time.
     """
-    return place(save(pieces(docs, tokenizer_path, separator_id, capacity), "pieces"), capacity)
+    cut = pieces(docs, tokenizer_path, separator_id, capacity).withColumn("_salt", (F.rand() * BUCKETS).cast("int"))
+    return place(save(cut, "pieces"), capacity)

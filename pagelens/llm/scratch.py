@@ -1,8 +1,8 @@
 """Shared storage for intermediate tables and files.
 
 Everything written here goes to the folder named by ``spark.checkpoint.dir``, which driver and executors share, so a
-result survives the loss of the executor that made it. Only when the cluster names no folder (tests) is a local
-temporary folder used.
+result survives the loss of the executor that made it. Only a local session (tests) may name no folder: a temporary one
+is used. A cluster without a folder is refused, as its machines would not see each other's files.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     """URI of the shared folder; a temporary local folder only where the session names none."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="pagelens-")

@@ -14,8 +14,10 @@ from itertools import islice
 
 import numpy as np
 
-#: Chunks a worker remembers (about 250 bytes each). Beyond it the half met first stays, the commoner chunks mostly.
+#: What a worker remembers: so many chunks, and so many bytes of them. Beyond either, those met first stay, up to half
+#: of each, the commoner chunks mostly. One batch of texts more may be held in between.
 CACHE_CHUNKS = 600_000
+CACHE_BYTES = 64_000_000
 _ENCODE_AT_ONCE = 20_000
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -26,29 +28,32 @@ class _Numbers(dict):
     def __init__(self, *args):
         super().__init__(*args)
         self.new: list[bytes] = []
+        self.bytes = sum(map(len, self))
 
     def __missing__(self, chunk: bytes) -> int:
         number = self[chunk] = len(self)
         self.new.append(chunk)
+        self.bytes += len(chunk)
         return number
 
 
 class ChunkEncoder:
     """Ids of whole texts from the ids of their chunks."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._whole, self._plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self._plain.normalizer = None  # lower-case ASCII is in normal form already
         self.vocab_size = self._whole.get_vocab_size()
-        self._limit = cache_chunks
+        self._limit, self._limit_bytes = cache_chunks, cache_bytes
         self._number = _Numbers()
         self._start, self._length, self._ids = array("q"), array("i"), array("I")
 
     def _shrink(self) -> None:
-        keep = self._limit // 2
+        sizes = np.fromiter(map(len, self._number), np.int64, len(self._number))
+        keep = min(self._limit // 2, int(np.searchsorted(np.cumsum(sizes), self._limit_bytes // 2, side="right")))
         self._number = _Numbers(islice(self._number.items(), keep))
         del self._start[keep:], self._length[keep:]
         end = int((np.frombuffer(self._start, np.int64) + np.frombuffer(self._length, np.int32)).max(initial=0))
@@ -79,7 +84,7 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text, in order."""
-        if len(self._number) > self._limit:
+        if len(self._number) > self._limit or self._number.bytes > self._limit_bytes:
             self._shrink()
         get = self._number.__getitem__
         numbers = []
@@ -116,5 +121,5 @@ def slices(texts: list[bytes], most_bytes: int = 4_000_000) -> Iterator[tuple[in
 
 
 def arrow_texts(column) -> list[bytes]:
-    """UTF-8 bytes of an Arrow string column; null is empty."""
+    """UTF-8 bytes of an Arrow string column; null is empty. Spark bounds the bytes of a batch, so long texts are few."""
     return [b"" if v is None else v for v in column.cast("binary").to_pylist()]

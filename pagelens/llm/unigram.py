@@ -7,7 +7,9 @@ and the count at a word's end is stored for all its occurrences.
 
 A character that is no piece costs the least score less 10 and counts as its UTF-8 bytes (byte fallback). Of equal
 scores the path whose last piece starts first wins. Defined results: null and empty texts have no tokens; a null
-doc_id is kept; repeated rows are counted each; an empty table gives no rows.
+doc_id is kept; repeated rows are counted each; an empty table gives no rows; columns other than doc_id and text are
+not read, whatever their names; a long text is a batch of its own, and a long word costs its length times the longest
+piece.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from .tokens import arrow_texts, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Pre-tokens whose counts a worker remembers between batches.
+#: Pre-tokens whose counts a worker remembers between batches, and their bytes.
 CACHE_WORDS = 600_000
+CACHE_BYTES = 64_000_000
 _COUNTERS: dict[str, TrieCounter] = {}
 
 
@@ -40,12 +43,13 @@ def load_pieces(model_path: str) -> dict[str, float]:
 class TrieCounter:
     """Piece counts of pre-tokens by forward scores on the trie's current path."""
 
-    def __init__(self, pieces: dict[str, float], cache_words: int = CACHE_WORDS):
+    def __init__(self, pieces: dict[str, float], cache_words: int = CACHE_WORDS, cache_bytes: int = CACHE_BYTES):
         self._pieces = pieces
         self._longest = max(map(len, pieces), default=1)
         self._unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
-        self._limit = cache_words
+        self._limit, self._limit_bytes = cache_words, cache_bytes
         self._counts: dict[bytes, int] = {}
+        self._bytes = 0
 
     def terminal_counts(self, words: list[str]) -> list[int]:
         """Pieces of each word; the words are distinct and sorted."""
@@ -77,9 +81,10 @@ class TrieCounter:
     def count_batch(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """Pre-tokens and tokens of each text."""
         split = [t.split() for t in texts]
-        if len(self._counts) > self._limit:
-            self._counts = {}
+        if len(self._counts) > self._limit or self._bytes > self._limit_bytes:
+            self._counts, self._bytes = {}, 0
         new = sorted((MARK + w.decode(), w) for w in set().union(*split).difference(self._counts)) if split else []
+        self._bytes += sum(len(w) for _, w in new)
         self._counts.update(zip((w for _, w in new), self.terminal_counts([t for t, _ in new]), strict=True))
         get = self._counts.__getitem__
         return [(len(words), sum(map(get, words))) for words in split]

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagelens.llm import idfiles, packing, unigram
+from pagelens.llm import idfiles, packing, tokens, unigram
 from pagelens.llm.tokens import ChunkEncoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -112,7 +112,7 @@ def test_plans_are_gapless_and_whole(pairs):
         rows, sequences = packing.make_plan(counts, 64, groups)
         check_plan(counts, 64, rows, sequences)
     total = int((counts * np.arange(65)).sum())
-    _, best = packing.plan(counts, 64, 4)
+    _, best = packing.make_plan(counts, 64, 4)
     assert -(-total // 64) <= best <= int(counts.sum())
 
 
@@ -120,7 +120,29 @@ def test_configurations_beat_best_fit():
     # three sizes that only the right configurations fill: 1024 = 512 + 341 + 171
     counts = np.zeros(1025, np.int64)
     counts[512] = counts[341] = counts[171] = 60
-    assert packing.plan(counts, 1024)[1] == 60
+    assert packing.make_plan(counts, 1024, share=1 / 6)[1] == 60
+
+
+def test_grouped_plans_need_no_more_than_best_fit():
+    import pyarrow.parquet as pq
+
+    enc = tokens.encoder(WORDS)
+    for sf, times in (("sf0.001", 1), ("sf0.01", 1), ("sf0.01", 10)):
+        texts = tokens.arrow_texts(pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).combine_chunks())
+        sizes = np.array([len(ids) + 1 for a, b in tokens.slices(texts) for ids in enc.encode_batch(texts[a:b])])
+        counts = np.bincount((sizes - 1) % 2048 + 1, minlength=2049)
+        counts[2048] += int(((sizes - 1) // 2048).sum())
+        rows, sequences = packing.make_plan(counts * times, 2048)
+        check_plan(counts * times, 2048, rows, sequences)
+        assert sequences <= packing.make_plan(counts * times, 2048, 0)[1]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(20, 100), st.integers(1, 40)), min_size=1, max_size=8, unique_by=lambda x: x[0]))
+def test_configurations_hold_the_demand(pairs):
+    sizes, demand = (np.array(x) for x in zip(*sorted(pairs), strict=True))
+    found = packing.configurations(sizes, demand, 100)
+    assert (sum(column * times for column, times in found) == demand).all() and all(column @ sizes <= 100 for column, _ in found)
 
 
 def test_pack(spark, library):
@@ -177,3 +199,14 @@ def test_trie_agrees_with_the_public_model(pieces):
     model = models.Unigram([("<unk>", 0.0), *pieces.items()], 0, False)
     words = sorted({unigram.MARK + w for w in "then there these them theme internationally counter counted counting a".split()})
     assert unigram.TrieCounter(pieces).terminal_counts(words) == [len(model.tokenize(w)) for w in words]
+
+
+def test_caches_are_bounded_by_bytes():
+    enc = ChunkEncoder(WORDS, cache_bytes=3000)
+    count = unigram.TrieCounter({"▁": -1.0, "a": -2.0, "aa": -2.5}, cache_bytes=3000)
+    for k in range(30):
+        text = bytes([97 + k % 26]) * 500 + b" a"
+        ids = next(enc.encode_batch([text]))
+        assert ids.tolist() == next(ChunkEncoder(WORDS).encode_batch([text])).tolist()
+        assert count.count_batch([text]) == unigram.TrieCounter({"▁": -1.0, "a": -2.0, "aa": -2.5}).count_batch([text])
+        assert enc._number.bytes <= 4000 and count._bytes <= 4000
