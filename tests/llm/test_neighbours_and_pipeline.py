@@ -16,8 +16,37 @@ def brute(rows, k):
 
 
 def test_transform_is_orthonormal():
-    h = neighbours.hadamard(np.eye(8))
-    assert np.allclose(h @ h.T, np.eye(8))
+    for n in (1, 8, 64, 256):
+        h = neighbours.hadamard(np.eye(n))
+        assert np.allclose(h @ h.T, np.eye(n)) and np.allclose(h, [[(-1) ** (i & j).bit_count() / n**0.5 for j in range(n)] for i in range(n)])
+
+
+def test_few_rows_are_reranked_on_isotropic_vectors():
+    x = np.random.default_rng(3).normal(size=(9000, 64))
+    index = neighbours.CrossPolytope(64)
+    least, _ = neighbours.choose_votes(x[: neighbours.SAMPLE_ROWS], index, 10, neighbours.TARGET_RECALL)
+    block, hits, share = neighbours.Block(np.arange(len(x)), x, index), 0, 0.0
+    for q, probes in zip(x[-100:], neighbours.probes_of(x[-100:], index), strict=True):
+        want = np.argsort(neighbours.distances(x, q), kind="stable")[:11]
+        hits += len(np.intersect1d(want, block.nearest(q, probes, least, 10)[0]))
+        share += len(block.candidates(probes, least, 10)) / len(x) / 100
+    assert hits >= 0.9 * 1100 and share < 0.25
+
+
+def test_votes_count_the_tables_that_name_a_row():
+    x = np.random.default_rng(4).normal(size=(200, 12))
+    index = neighbours.CrossPolytope(12, 5)
+    block, probes = neighbours.Block(np.arange(200), x, index), neighbours.probes_of(x[:7], index)
+    codes = np.array([index.codes(x, t) for t in range(5)])
+    for p in probes:
+        assert block.votes(p).tolist() == sum(np.isin(codes[t], p[t]).astype(int) for t in range(5)).tolist()
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.1, 0.9]), (2, [0.0, 1.0]), (0, [1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        got = search(spark, order)
+        assert set(got) == {0} and [(r, v) for r, v, _ in got[0]] == [(1, 1), (2, 2)] and got[0][0][2] == pytest.approx(np.hypot(0.9, 0.9), abs=1e-6)
 
 
 def test_probes_begin_with_the_own_bucket():
