@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, save
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node with an edge; columns a and b, both long.
 
     Each round orders the labels anew at random, hangs every label on the first one beside it and follows that one
@@ -18,7 +20,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct()
     left = save(edges, "edges")
     labels = save(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node")), "labels")
-    for turn in range(max_rounds):
+    for turn in count():
         if not left.limit(1).count():
             least = labels.groupBy("component").agg(F.min("node").alias("_least"))
             return save(labels.join(least, "component").select("node", F.col("_least").alias("component")), "components")
@@ -40,4 +42,3 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         for old in (left, labels, step, far):
             drop(edges.sparkSession, old)
         left, labels = new_left, new_labels
-    raise RuntimeError(f"components: not done after {max_rounds} rounds")

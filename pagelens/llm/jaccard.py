@@ -11,11 +11,15 @@ the shingles. Orders: rarest first (document frequency over all classes, then ha
 3. The first order's prefixes of the others are the index. Every class is checked first against one leader, that of the
    postings with which it shares most; that connects most groups with one candidate a class. Postings whose classes
    are not yet known to be connected then give the remaining pairs, so no link between two components is lost.
-4. A candidate pair must share a token in its prefixes under the other orders too; then the sets are intersected.
+4. The candidates are intersected with those of the other orders: of each pair the prefixes under these orders meet
+   first, and only pairs that share a token under both go on. For these the sets move and are held against each other.
+
+A class that is in many pairs (a leader) has its set sent to several tasks, each with some of its pairs.
 
 Frequencies, prefixes and candidates cover all documents, with no cap. Defined results: null and empty texts and texts
 without words have no shingles, and are their own component; rows that repeat a doc_id are one node of the link graph;
-a row without a doc_id is kept and linked with nothing; an empty table gives no rows.
+a row without a doc_id is kept and linked with nothing; an empty table gives no rows; columns other than doc_id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ LEADER_ROUNDS = 2
 #: Rows that Python workers are sent at once: whole texts, or the sets of two classes.
 ARROW_ROWS = 1000
 BROADCAST_IDS = 2_000_000
+#: Pairs of one class that a task takes with one copy of its set.
+CLASS_PAIRS = 256
 MANY = 0xFFFF
 
 
@@ -189,31 +195,59 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return known.filter(F.col("position") <= F.col("shared") - F.floor((F.col("n") * percent + 99) / 100)).select("token", "node", "n", "shared", "position", "weight")
 
 
+def _beside(pairs: DataFrame, sets: DataFrame, columns: list[Column]) -> DataFrame:
+    """Pairs a, b with the columns of both sets, as _x0, _x1, ... and _y0, _y1, ...; pairs is a saved table.
+
+    A class of many pairs is cut in parts of CLASS_PAIRS pairs, each with a copy of its columns, so it fills no task.
+    """
+    few = pairs.count() // CLASS_PAIRS <= BROADCAST_IDS  # there are so many classes of several parts at most
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = sets.join(named, "node", "left_semi")
+    out = pairs
+    for side, other, names in (("a", "b", "_x"), ("b", "a", "_y")):
+        parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / CLASS_PAIRS).cast("int").alias("_parts")).filter("_parts > 1")
+        parts = F.broadcast(parts) if few else parts
+        own = wanted.select(F.col("node").alias(side), *(c.alias(f"{names}{i}") for i, c in enumerate(columns)))
+        own = own.join(parts, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        out = out.join(parts, side, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+        out = out.join(own, [side, "_part"]).drop("_part")
+    return out
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose prefixes share a token under each of two orders."""
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("_x0", "_y0", "_x1", "_y1")]
+        keep = [meet(x, y) and meet(v, w) for x, y, v, w in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def meet(x: bytes, y: bytes) -> bool:
+    """Whether two sorted runs of tokens share one."""
+    return len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) > 0
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose sets link: the other orders' prefixes must meet, then the exact test."""
+    """Pairs a, b whose sets link: the prefixes under ascending and descending hash must meet, then the exact test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                keep.append(links(x, y, percent))
+            keep = [links(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("_x0").to_pylist(), batch.column("_y0").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    spark = pairs.sparkSession
     pairs = save(pairs, "pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = sets.join(named, "node", "left_semi")
-    x = wanted.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
-    y = wanted.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    bytes_ = 8 * (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")
+    prefix = [F.substring("tokens", F.lit(1), bytes_), F.substring("tokens", -bytes_, bytes_)]
+    near = save(_beside(pairs, sets, prefix).mapInArrow(_meeting, "a long, b long"), "near")
+    found = save(_beside(near, sets, [F.col("tokens")]).mapInArrow(run, "a long, b long"), "links")
+    for done in (pairs, near):
+        drop(spark, done)
+    return found
 
 
 def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link: prefix tests under ascending and descending hash, then the exact overlap."""
-    a, b = len(x) - needed(len(x), percent) + 1, len(y) - needed(len(y), percent) + 1
-    for p, q in ((x[:a], y[:b]), (x[-a:], y[-b:])):
-        if not len(np.intersect1d(p, q, assume_unique=True)):
-            return False
+    """Whether two sorted sets link."""
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= percent * (len(x) + len(y) - common)
 
@@ -229,16 +263,26 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(spread, "token")
 
 
-def posting_pairs(rows: DataFrame, percent: int, wanted: Column) -> DataFrame:
-    """The distinct pairs a < b of classes that meet in a posting and may link; ``wanted`` names the partner's columns with _.
+def posting_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs a < b of classes that meet in a posting and may link.
 
-    A pair is taken at any token that could be its first common one: the overlap that is left must suffice.
+    A pair is taken at any token that could be its first common one: the overlap that is left must suffice. Where rows
+    have labels, pairs of one label are not made: the classes of a posting that are not of its commonest label are held
+    against all others, so a label that fills a posting costs no more than its classes.
     """
+    left = rows
+    apart = F.col("node") < F.col("_node")
+    if "label" in rows.columns:
+        sizes = rows.groupBy("token", "label").agg(F.count("*").alias("_n"))
+        common = sizes.groupBy("token").agg(F.max(F.struct("_n", "label")).alias("_m")).select("token", F.col("_m.label").alias("_common"))
+        rows = rows.join(common, "token").withColumn("_few", F.col("label") != F.col("_common")).drop("_common")
+        left = rows.filter("_few")
+        apart = (F.col("label") != F.col("_label")) & (~F.col("__few") | apart)
     other = rows.select("token", *(F.col(c).alias("_" + c) for c in rows.columns if c not in ("token", "weight")))
     reach = F.least(F.col("shared") - F.col("position"), F.col("_shared") - F.col("_position"))
     overlap = reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
-    pairs = rows.join(other, "token").filter(F.col("node") < F.col("_node")).filter(wanted).filter(_close(percent)).filter(overlap)
-    return pairs.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    pairs = left.join(other, "token").filter(apart).filter(_close(percent)).filter(overlap)
+    return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
 def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,6 +294,7 @@ def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     that too. Labels then follow the links found. What postings of several labels
     are left after that give all their pairs of different labels.
     """
+    spark = sets.sparkSession
     labels = save(sets.select("node", F.col("node").alias("label")), "labels")
     found = None
     for turn in range(LEADER_ROUNDS):
@@ -259,13 +304,17 @@ def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         leader = rows.groupBy("token").agg(F.max(key).alias("l")).select("token", F.col("l.node").alias("_node"), F.col("l.n").alias("_n"), F.col("l.label").alias("_label"))
         meets = rows.join(leader, "token").filter(F.col("label") != F.col("_label")).filter(_close(percent)).groupBy("node", "_node").agg(F.count("*").alias("times"))
         chosen = meets.groupBy("node").agg(F.max(F.struct("times", "_node")).alias("c")).select(F.col("node").alias("a"), F.col("c._node").alias("b"))
-        new = save(verify(chosen, sets, percent), "links")
+        new = verify(chosen, sets, percent)
         found = new if found is None else found.union(new)
         here, there = (labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
         hooks = new.join(here, "a").join(there, "b").select(F.greatest("_a", "_b").alias("label"), F.least("_a", "_b").alias("_to")).filter("label <> _to").groupBy("label").agg(F.min("_to").alias("_to"))
-        labels = save(labels.join(hooks, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+        moved = save(labels.join(hooks, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+        drop(spark, labels)
+        labels = moved
     rows = save(_mixed(index.join(labels, "node")), "open")
-    rest = save(verify(posting_pairs(rows, percent, F.col("label") != F.col("_label")), sets, percent), "links")
+    rest = verify(posting_pairs(rows, percent), sets, percent)
+    for done in (labels, rows):
+        drop(spark, done)
     return found.union(rest)
 
 
@@ -307,6 +356,7 @@ def _labelled(signed: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFr
     if again.limit(1).count():
         edges = edges.union(signed.join(again, "doc_id", "left_semi").join(classes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     labels = components(edges)
+    drop(signed.sparkSession, again)
     return classes.join(labels.withColumnRenamed("node", "first"), "first", "left").withColumn("_component", F.coalesce("component", "first"))
 
 
@@ -318,8 +368,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity percent/100)."""
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         signed, classes, sets, index = _classes(docs, width, percent)
-        named = _labelled(signed, classes, link_edges(index, sets, percent))
-        for done in (sets, index):
+        edges = link_edges(index, sets, percent)
+        named = _labelled(signed, classes, edges)
+        for done in (sets, index, edges):
             drop(docs.sparkSession, done)
     return signed.join(named.select("h1", "h2", "n", "_component"), ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), _component_id())
 
@@ -330,7 +381,7 @@ def class_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
     connected groups too, so the pairs of a large group of near copies grow with the square of its different texts."""
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         signed, classes, sets, index = _classes(docs, width, percent, apart=True)
-        found = save(verify(posting_pairs(index, percent, F.lit(True)), sets, percent), "links")
+        found = verify(posting_pairs(index, percent), sets, percent)
         for done in (sets, index):
             drop(docs.sparkSession, done)
     return signed, classes, found

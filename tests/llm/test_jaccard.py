@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from pagelens.llm import jaccard, shingles
 from pagelens.llm.components import components
 
@@ -121,3 +123,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {got[i] for i in range(100, 161)} == {100} and got[5] == got[900] == got[1] == 1 and got[3] == 2 and 7 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_posting_of_one_label_gives_no_pairs_of_its_own(spark):
+    """20,000 classes of one label and one other class in a posting: a pair for each of them, not for each two."""
+    own = spark.range(20_000).selectExpr("7L AS token", "id AS node", "10 AS n", "10L AS shared", "0 AS position", "0L AS label", "1.0D AS weight")
+    other = spark.range(1).selectExpr("7L AS token", "50000L AS node", "10 AS n", "10L AS shared", "0 AS position", "50000L AS label", "1.0D AS weight")
+    pairs = jaccard.posting_pairs(own.union(other), 80)
+    assert pairs.count() == 20_000 and pairs.filter("b = 50000").count() == 20_000
+    few = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 2, 1), (4, 3, 1), (5, 3, 1)], "node long, label long, token long").selectExpr("token", "node", "10 AS n", "10L AS shared", "0 AS position", "label", "1.0D AS weight")
+    want = {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} - {(1, 2), (4, 5)}
+    assert {(r.a, r.b) for r in jaccard.posting_pairs(few, 80).collect()} == want
+
+
+def test_a_class_of_many_pairs_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CLASS_PAIRS", 3)
+    sets = spark.createDataFrame([(i, bytes([i])) for i in range(30)], "node long, tokens binary")
+    pairs = spark.createDataFrame([(i, 29) for i in range(29)] + [(0, i) for i in range(1, 29)], "a long, b long")
+    got = jaccard._beside(pairs, sets, [F.col("tokens")]).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted((r.a, r.b) for r in pairs.collect()) and all(bytes(r["_x0"]) == bytes([r.a]) and bytes(r["_y0"]) == bytes([r.b]) for r in got)
