@@ -12,7 +12,8 @@ in the same long template: those of a copy are missing on one side, or have near
 page that shares less is taken before one that shares so much; where both share so much, what all of them have goes.
 
 Defined results: null and empty html give an empty text; a null URL is its own host; pages that repeat a URL are
-neighbours; an empty table gives no rows.
+neighbours; rows that repeat a page are each returned; long pages are read whole; an empty table gives no rows; columns
+other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from html import unescape
 
 import pandas as pd
@@ -44,12 +46,18 @@ MARKS = frozenset(
     "share sharing social related recommended recommendations teaser teasers widget widgets pagination pager skip toolbar copyright".split()
 )
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements whose classes name parts of code.
+CODE = frozenset(("pre", "code"))
+#: Unseen elements whose content is not parsed: it ends at the first end tag.
+RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an end tag of another name does not close.
 SCOPES = frozenset("article main section div table td th body nav aside footer header form ul ol".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote that is never closed ends with its tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
@@ -65,8 +73,9 @@ class Block:
     linked: int
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not in_article):
+def _is_furniture(tag: str, attributes: str) -> bool:
+    """Whether the element's name or attributes say that it holds no article text."""
+    if tag in FURNITURE:
         return True
     if not attributes.strip() or tag in ("html", "body"):
         return False
@@ -79,26 +88,49 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+@cache
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+
+
+def _after(html: str, tag: str, at: int) -> int | None:
+    """Where the element opened before ``at`` ends, elements of its name inside it included; None if it is not closed."""
+    depth = 1
+    for m in _ends(tag).finditer(html, at):
+        if m[1]:
+            depth -= 1
+            if not depth or tag in RAW:
+                return m.end()
+        elif not m[0].endswith("/>"):
+            depth += 1
+    return None
+
+
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order; open elements close at the end of the page."""
+    """Text blocks in page order; open elements close at the end of the page.
+
+    A page header is furniture; of a header inside an article the headings are text. Inline elements that are furniture
+    are silent: what they hold belongs to no block.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside an article, inside furniture
+    stack: list[tuple[str, bool, int]] = []  # tag, inside an article, 2 inside furniture, 1 inside an article's header
     parts: list[str] = []
-    linked, links, at, end = 0, 0, 0, len(html)
+    linked, links, at, end, code = 0, 0, 0, len(html), 0
+    silent, silent_depth, silent_below = "", 0, 0  # the silent inline element, how often it is open, elements around it
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            article, furniture = stack[-1][1:] if stack else (False, False)
-            out.append(Block(text, article, furniture, linked))
+            article, furniture = stack[-1][1:] if stack else (False, 0)
+            out.append(Block(text, article, furniture > 0, linked))
         parts.clear()
         linked = 0
 
     while at < end:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
-        if text:
+        if text and not silent:
             text = unescape(text)
             parts.append(text)
             if links:
@@ -112,6 +144,12 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
+            if tag == silent:
+                silent_depth -= 1
+                if not silent_depth:
+                    silent = ""
+            if tag in CODE:
+                code = max(0, code - 1)
             if tag not in INLINE:
                 flush()
                 for k in range(len(stack) - 1, -1, -1):
@@ -120,26 +158,37 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[k][0] in SCOPES and tag not in SCOPES:
                         break
+                if silent and len(stack) < silent_below:
+                    silent = ""
             continue
         if tag in UNSEEN:
             if tag not in VOID and not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+                close = _after(html, tag, at)
+                at = close if close is not None else (end if tag in RAW else at)
             continue
         if tag == "a":
             links += 1
+        if tag in CODE:
+            code += 1
         if tag in INLINE:
-            if _HIDDEN.search(m[3]):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else at
+            if silent:
+                silent_depth += tag == silent
+            elif tag not in VOID and not code and _is_furniture(tag, m[3]):
+                silent, silent_depth, silent_below = tag, 1, len(stack)
             continue
         flush()
         if tag in VOID:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        inside, furniture = stack[-1][1:] if stack else (False, False)
-        stack.append((tag, inside or tag in ARTICLE, furniture or _is_furniture(tag, m[3], inside)))
+        inside, furniture = stack[-1][1:] if stack else (False, 0)
+        if furniture == 1 and tag in HEADINGS:
+            furniture = 0
+        if tag == "header":
+            furniture = max(furniture, 1 if inside else 2)
+        if _is_furniture(tag, m[3]):
+            furniture = 2
+        stack.append((tag, inside or tag in ARTICLE, furniture))
     flush()
     return out
 
@@ -173,8 +222,11 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
 COPY_SHARE = 0.8
 
 
-#: Pages in a range, about: what one task reads does not grow with the table.
-RANGE_PAGES = 4000
+#: Pages in a range, about, and the most ranges: what the driver holds (SAMPLES keys a range for the bounds, four pages'
+#: keys a range at its ends) is bounded at any size, beyond it ranges grow. A task streams its range, whatever its size.
+RANGE_PAGES = 1000
+MAX_RANGES = 20_000
+SAMPLES = 20
 
 
 def _is_copy(own: list[Block], shared: list[bool], other: list[Block]) -> bool:
@@ -278,16 +330,17 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     # order of pages with equal keys: page_id, then a hash of the page
     full = keyed.withColumn("h", F.xxhash64("url", "html"))
     keys = save(full.select("key", "page_id", "h", "html").mapInArrow(_prints, "key string, page_id long, h long, t long"), "keys")
-    ranges = ranges or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // RANGE_PAGES)
     total = keys.count()
+    ranges = ranges or min(MAX_RANGES, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_PAGES))
     if not total:
         return rows.select("page_id", "url", F.lit("").alias("text"))
-    share = min(1.0, 60 * ranges / total)
+    share = min(1.0, SAMPLES * max(ranges, 50) / total)  # few ranges are cut by more keys
     sample = sorted((r["key"], -1 if r["page_id"] is None else r["page_id"]) for r in keys.sample(share, seed=1).select("key", "page_id").collect())
-    bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    shared = spark.sparkContext.broadcast(sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else [])
 
     def number(keys: pd.Series, pages: pd.Series) -> pd.Series:
         """How many bounds are not after the row."""
+        bounds = shared.value
         return pd.Series([bisect.bisect_right(bounds, (k, -1 if pd.isna(p) else int(p))) for k, p in zip(keys, pages, strict=True)], dtype="int32")
 
     place = F.pandas_udf(number, "int")

@@ -110,6 +110,25 @@ def test_broken_pages():
     assert htmltext.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<p>a <span style="display:none"><span>in</span>secret</span>b</p>', "a b"),
+        ("<p>a</p><svg><svg><text>x</text></svg><text>y</text></svg><p>b</p><object><object></object>z</object>", "a b"),
+        ('<p title="abc>broken text</p><p>more', "broken text more"),
+        ("<p title='abc>broken</p><p>more", "broken more"),
+        ('<article><header>Head</header><p>main <span class="ad">AD</span><a class="share" href="x">Share</a></p></article>', "main"),
+        ("<article><header><h1>Title</h1><p>By me</p></header><p>main</p></article>", "Title main"),
+        ('<p>a <span hidden>b <em>c</em></span><i aria-hidden="true">d</i>e</p><p>f</p>', "a e f"),
+        ('<div><p>a <span class="ad">b</p></div><p>c</p>', "a c"),
+        ('<pre>x <span class="comment"># y</span></pre><p>z</p>', "x # y z"),
+        ('<p>1 < 2 and "q" it\'s</p>', "1 < 2 and \"q\" it's"),
+    ],
+)
+def test_silent_and_broken_markup(html, text):
+    assert htmltext.main_text(html) == text
+
+
 def test_differencing_removes_what_neighbours_share():
     a = shell("<div>Welcome to the site</div><p>All about zebras and their stripes.</p><div>Call us any time</div>")
     b = shell("<div>Welcome to the site</div><p>All about lions and their long manes.</p><div>Call us any time</div>")
