@@ -108,16 +108,21 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[bytes], most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about so many bytes (one longer text is a run of its own)."""
+def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of items of about so much size together (one larger item is a run of its own)."""
     begin, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most_bytes:
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
             yield begin, i
             begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def slices(texts: list[bytes], most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many bytes (one longer text is a run of its own)."""
+    return runs([len(t) for t in texts], most_bytes)
 
 
 def arrow_texts(column) -> list[bytes]:

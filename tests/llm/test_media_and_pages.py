@@ -184,6 +184,10 @@ def test_round_trip(spark, monkeypatch):
         revisit = body == big and page != 41
         want.append((page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", 41 if revisit else None))
     assert got == sorted(want, key=str)
+    looked = warc.fetch(pages.repartition(3), directory).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in looked), key=str) == got
+    some = warc.fetch(pages.filter("page_id IN (3, 41, 90)").unionByName(pages.selectExpr("CAST(999 AS long) AS page_id", "'https://none.com/' AS url", "html", "digest").limit(1)), directory)
+    assert sorted(r.page_id for r in some.collect()) == [3, 41, 41, 90]
     payloads = {r.page_id: r.payload for r in warc.read_archives(directory, payloads=True).collect()}
     assert bytes(payloads[90]) == b"z" * 100_000 and payloads[50] is None
     blocks = warc.load_directory(directory)
