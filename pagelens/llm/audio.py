@@ -2,7 +2,13 @@
 
 Samples are read in blocks with the filters' overlap, so memory does not grow with the length of a clip. Every clip is
 computed by itself in blocks of fixed size: equal bytes give equal values, whatever stands beside them.
-Defined results: null is no bytes; a clip is padded to a positive multiple of the frame unit; equal clips, equal rows.
+
+Log-mel frames are stored as rows of an Arrow file: a tensor of fixed shape (frames x mels, half precision) with its
+time span, the clip's digests and segments beside its first tensor. Features of a clip are read from those files.
+
+Defined results: null is no bytes; a clip is padded to a positive multiple of the frame unit; equal clips, equal rows;
+rows that repeat a doc_id, and null doc_ids, are clips of their own; an empty table makes no files; columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,12 +22,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import save
+from .scratch import commit_file, drop, filesystem_of, new_folder, save
 from .tokens import slices
 
+#: Bytes of samples whose tensors are written as one batch (one longer clip is a batch of its own).
+BATCH_BYTES = 4_000_000
+
 RIFF = "<4sI4s4sIHHIIHH4sI"
 HEADER = struct.calcsize(RIFF)
 
@@ -42,7 +52,7 @@ class AudioSettings:
     open_db: float = 3.0
     close_db: float = 6.0
     block: int = 1 << 16
-    tensor_frames: int = 64
+    tensor_frames: int = 16
 
     @property
     def out_rate(self) -> float:
@@ -180,12 +190,17 @@ def features(samples: bytes, s: AudioSettings, tensors: bool = False) -> dict:
     return out
 
 
+def tensor_array(values: np.ndarray) -> pa.ExtensionArray:
+    """Fixed-shape Arrow tensors (frames x mels, half precision) of an array of them."""
+    kind = pa.fixed_shape_tensor(pa.float16(), values.shape[1:], dim_names=["frame", "mel"])
+    flat = pa.array(np.ascontiguousarray(values, np.float16).reshape(-1))
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, values.shape[1] * values.shape[2]))
+
+
 def tensor_table(samples: bytes, s: AudioSettings) -> pa.Table:
-    """Fixed-shape Arrow tensors (frames x mels) of a clip with their time spans."""
+    """The tensors of a clip with their time spans."""
     got = features(samples, s, tensors=True)
-    kind = pa.fixed_shape_tensor(pa.float32(), (s.tensor_frames, s.mels), dim_names=["frame", "mel"])
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(got["tensors"].reshape(-1)), s.tensor_frames * s.mels)
-    return pa.table({"start_s": pa.array([a for a, _ in got["spans"]], pa.float64()), "end_s": pa.array([b for _, b in got["spans"]], pa.float64()), "log_mel": pa.ExtensionArray.from_storage(kind, flat)})
+    return pa.table({"start_s": pa.array([a for a, _ in got["spans"]], pa.float64()), "end_s": pa.array([b for _, b in got["spans"]], pa.float64()), "log_mel": tensor_array(got["tensors"])})
 
 
 def store(docs: DataFrame, unit: int, s: AudioSettings) -> DataFrame:
@@ -201,26 +216,96 @@ def store(docs: DataFrame, unit: int, s: AudioSettings) -> DataFrame:
     return save(texts.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-def describe(media: DataFrame, s: AudioSettings) -> DataFrame:
-    """Digests and features of stored clips.
+_SEGMENTS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+#: What stands beside a clip's first tensor.
+_CLIP = [
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
+    ("media_sha256", pa.string()), ("frames", pa.int64()), ("segments", _SEGMENTS),
+]
+
+
+def write_tensors(media: DataFrame, s: AudioSettings) -> DataFrame:
+    """Compute stored clips and write their tensors; a row for each Arrow file: path, clips, tensors."""
+    spark = media.sparkSession
+    folder = new_folder(spark, "tensors")
+    filesystem, inner = filesystem_of(folder)
+    filesystem.create_dir(inner, recursive=True)
+
+    def batch_of(clips: list[tuple]) -> pa.RecordBatch:
+        """Rows of whole clips: doc_id, n, media."""
+        own, first, spans, parts = [], [], [], []
+        for doc, n, clip in clips:
+            samples, _ = from_wav(clip)
+            got = features(samples, s, tensors=True)
+            more = len(got["spans"]) - 1
+            own.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(clip), hashlib.sha256(clip).hexdigest(), got["frames"], [{"start_s": a, "end_s": b} for a, b in got["segments"]]))
+            first += [len(own) - 1, *[None] * more]
+            spans += got["spans"]
+            parts.append(got["tensors"])
+        places = pa.array(first, pa.int64())
+        columns = [pa.array(c, t).take(places) for c, (_, t) in zip(zip(*own, strict=True), _CLIP, strict=True)]
+        columns += [places.is_valid(), pa.array([a for a, _ in spans], pa.float64()), pa.array([b for _, b in spans], pa.float64()), tensor_array(np.concatenate(parts))]
+        return pa.RecordBatch.from_arrays(columns, names=[*(n for n, _ in _CLIP), "begins", "start_s", "end_s", "log_mel"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, inner = filesystem_of(folder)
+        task = TaskContext.get()
+        # the name holds the attempt: rows always mean the file of the attempt that wrote them
+        name = f"{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
+        out = sink = None
+        clips = tensors = 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")]
+            for a, b in slices(columns[2], BATCH_BYTES):
+                made = batch_of(list(zip(*(c[a:b] for c in columns), strict=True)))
+                if out is None:
+                    sink = filesystem.open_output_stream(f"{inner}/.{name}", compression=None)
+                    out = pa.ipc.new_file(sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                out.write_batch(made)
+                clips, tensors = clips + b - a, tensors + len(made)
+        if out is not None:
+            out.close()
+            sink.close()
+            commit_file(filesystem, f"{inner}/.{name}", f"{inner}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([clips], pa.int64()), pa.array([tensors], pa.int64())], names=["path", "clips", "tensors"])
+
+    return save(media.select("doc_id", "n_bytes", "media").mapInArrow(run, "path string, clips long, tensors long"), "tensors-made")
+
+
+def read_tensors(path: str) -> Iterator[pa.RecordBatch]:
+    """The batches of one file of tensors; each holds whole clips."""
+    filesystem, inner = filesystem_of(path)
+    with filesystem.open_input_file(inner) as source, pa.ipc.open_file(source) as file:
+        for i in range(file.num_record_batches):
+            yield file.get_batch(i)
+
+
+def clip_features(files: DataFrame, s: AudioSettings) -> DataFrame:
+    """Digests, segments and features of the clips in files of tensors.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the last 32 samples), media_bytes, media_sha256,
-    frames, mean_mel (array<double>), segments (array of start and end seconds).
+    frames, segments (array of start and end seconds), mean_mel (array<double>).
     """
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
-        ("media_sha256", pa.string()), ("frames", pa.int64()), ("mean_mel", pa.list_(pa.float64())), ("segments", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))),
-    ])
+    schema = pa.schema([*_CLIP, ("mean_mel", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in schema.names}
-            for doc, n, clip in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                samples, _ = from_wav(clip)
-                got = features(samples, s)
-                values = (doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(clip), hashlib.sha256(clip).hexdigest(), got["frames"], got["mean_mel"].tolist(), [{"start_s": a, "end_s": b} for a, b in got["segments"]])
-                for name, value in zip(schema.names, values, strict=True):
-                    rows[name].append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
-
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, mean_mel array<double>, segments array<struct<start_s:double,end_s:double>>")
+            for path in batch.column(0).to_pylist():
+                for rows in read_tensors(path):
+                    first = np.flatnonzero(rows.column("begins").to_numpy(zero_copy_only=False))
+                    # frames beyond a clip's end are zero and add nothing
+                    sums = rows.column("log_mel").to_numpy_ndarray().astype(np.float64).sum(axis=1)
+                    sums = np.add.reduceat(sums, first, axis=0)
+                    clips = [rows.column(n).take(pa.array(first)) for n, _ in _CLIP]
+                    mean = sums / np.maximum(1, clips[-2].to_numpy())[:, None]
+                    yield pa.RecordBatch.from_arrays([*clips, pa.array(list(mean), pa.list_(pa.float64()))], schema=schema)
+
+    count = max(1, files.count())
+    return files.select("path").repartition(count).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, segments array<struct<start_s:double,end_s:double>>, mean_mel array<double>")
+
+
+def describe(media: DataFrame, s: AudioSettings) -> DataFrame:
+    """Write the tensors of clips that :func:`store` wrote, and their features as read back from them."""
+    files = write_tensors(media, s)
+    drop(media.sparkSession, media)
+    return clip_features(files, s)

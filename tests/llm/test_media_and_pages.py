@@ -66,6 +66,14 @@ def test_media_columns(spark):
         assert r.media_sha256 == hashlib.sha256(audio.to_wav(payload, s.rate)).hexdigest() and r.frames > 0 and len(r.mean_mel) == s.mels
     assert got[5][1:] == got[6][1:] and got[0][1:] == got[1][1:]
     assert audio.describe(audio.store(docs.limit(0), 576, s), s).count() == 0
+    files = audio.write_tensors(audio.store(docs, 576, s), s)
+    stored = [b for f in files.collect() for b in audio.read_tensors(f.path)]
+    assert all(isinstance(b.schema.field("log_mel").type, pa.FixedShapeTensorType) and b.schema.field("log_mel").type.shape == [s.tensor_frames, s.mels] for b in stored)
+    long = pa.Table.from_batches(stored).to_pylist()
+    at = next(i for i, r in enumerate(long) if r["doc_id"] == 7)
+    assert long[at]["begins"] and not long[at + 1]["begins"] and long[at]["end_s"] == long[at + 1]["start_s"]
+    want = audio.features(audio.pad(texts[7].encode(), 576), s)
+    assert got[7].frames == want["frames"] and np.allclose(got[7].mean_mel, want["mean_mel"], atol=0.01)
 
 
 def test_tensors():
