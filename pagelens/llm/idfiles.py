@@ -9,7 +9,9 @@ says where that table starts.
 ``ranks.bin`` beside the files holds the id of every rank as unsigned 32-bit integers.
 
 Defined results: null text is empty and has the end id alone; null doc_ids come first in the files with
-``null_ids`` and are refused without; rows that repeat a doc_id each get their own entry, in order of their ids' bytes; an empty table makes no files.
+``null_ids`` and are refused without; rows that repeat a doc_id each get their own entry, in order of a hash of their
+ids; an empty table makes no files; columns other than doc_id and text are not read, whatever their names; a writer and
+a reader hold one block and one document.
 """
 
 from __future__ import annotations
@@ -67,36 +69,46 @@ def decode_block(count: int, control: np.ndarray, data: np.ndarray) -> np.ndarra
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian bytes, two an id where the vocabulary allows): the end id closes each."""
+    """doc_id, n_tokens, width, ids (little-endian bytes, two an id where the vocabulary allows), counts: the end id
+    closes each document.
+
+    Each task's last row has neither n_tokens nor ids but counts: how often its documents have each id (the ids, then
+    the numbers, as 64-bit integers).
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        kind = "<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
+        size = max(enc.vocab_size, end_id + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        total, end = np.zeros(size, np.int64), np.array([end_id], kind)
         for batch in batches:
             texts = arrow_texts(batch.column(1))
             for a, b in slices(texts):
-                ids = [np.append(x, np.uint32(end_id)).astype(kind) for x in enc.encode_batch(texts[a:b])]
+                ids = [np.concatenate([x.astype(kind), end]) for x in enc.encode_batch(texts[a:b])]
+                total += np.bincount(np.concatenate(ids), minlength=size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.itemsize for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    names=["doc_id", "n_tokens", "width", "ids"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.itemsize for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(b - a, pa.binary())],
+                    schema=schema,
                 )
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_pydict({"doc_id": [None], "n_tokens": [None], "width": [None], "ids": [None], "counts": [np.array([used, total[used]], "<i8").tobytes()]}, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary, counts binary")
 
 
 def id_counts(encoded: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs in the corpus; each task adds up its own before anything moves."""
+    """How often each id occurs in the corpus, from the tasks' own counts."""
 
     def run(batches):
-        total = np.zeros(size, np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+            for counts in batch.column(0).to_pylist():
+                used, total = np.frombuffer(counts, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total, pa.int64())], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for row in encoded.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in encoded.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
     return counts
 
@@ -111,8 +123,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int
     from tokenizers import Tokenizer
 
     size = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
-    encoded = save(encode_documents(docs, tokenizer_path, end_id), "ids")
-    counts = id_counts(encoded, size)
+    # rows that repeat a doc_id are spread by a hash of their ids, and those alike by a stored number
+    stored = encode_documents(docs, tokenizer_path, end_id).withColumns({"h": F.xxhash64("ids"), "salt": (F.rand() * 1024).cast("int")})
+    stored = save(stored, "ids")
+    counts = id_counts(stored, size)
+    encoded = stored.filter("counts IS NULL")
     if not null_ids and encoded.filter("doc_id IS NULL").limit(1).count():
         raise ValueError("write_ids: doc_id is null")
     by_rank = np.argsort(-counts, kind="stable").astype(np.uint32)
@@ -165,9 +180,12 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shard_ids: int
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{shard:06d}.idr"], "ids": [total], "documents": [len(names)], "bytes": [at + len(table) + struct.calcsize(_TRAILER)]}, schema=schema)
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("ids", pa.int64()), ("documents", pa.int64()), ("bytes", pa.int64())])
-    ordered = encoded.select("doc_id", "width", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    written = save(ordered.mapInArrow(run, "shard int, path string, ids long, documents long, bytes long"), "idfiles-made").orderBy("shard").collect()
-    drop(spark, encoded)
+    order = ["doc_id", "h", "salt"]
+    ordered = encoded.select("doc_id", "width", "ids", "h", "salt").repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    made = save(ordered.select("doc_id", "width", "ids").mapInArrow(run, "shard int, path string, ids long, documents long, bytes long"), "idfiles-made")
+    written = made.orderBy("shard").collect()  # a row a file
+    for done in (stored, made):
+        drop(spark, done)
     entries, start = [], 0
     for row in written:
         entries.append({**row.asDict(), "start": start})
