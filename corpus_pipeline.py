@@ -1,8 +1,14 @@
-"""Corpus pipeline: quality filter, near-copy removal, source mixing, packing. Each stage reads what the one before kept."""
+"""Corpus pipeline: quality filter, near-copy removal, source mixing, packing. Each stage reads what the one before kept.
+
+Columns of the documents, whatever their names, pass all stages but the last unchanged (source_mix cuts one text, and
+its n_chars, a source). Rows that repeat a doc_id are judged, mixed and packed each; of near copies those of the
+smallest doc_id stay; null texts count as empty; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelens.llm import jaccard, mixing, packing, quality, scratch
 from pagelens.llm.queries import table, word_tokenizer
@@ -12,12 +18,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier, learned from the labelled ones, gives a score of 0.5 or more."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     kept = quality.score(docs, model, docs.columns)
-    return kept.filter("score >= 0.5").select(*docs.columns)
+    return kept.filter(F.col(quality.score_name(docs.columns)) >= 0.5).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return jaccard.one_of_each(docs, width=5, percent=80).select(*docs.columns)
+    return jaccard.one_of_each(docs, width=5, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            scratch.drop(spark, before)
+        before = docs
     return docs

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import save
+from .scratch import drop, save, unused
 
 #: Blocks of all sources together, and one more for each source at most.
 BLOCKS = 16_384
@@ -69,23 +69,35 @@ def _source_key(source: Column) -> list[Column]:
     return [source.isNull().alias("_none"), F.coalesce(source.cast("string"), F.lit("")).alias("_source")]
 
 
+#: What the mix says of a document.
+ADDED = ("size", "source_size", "target", "copies", "part", "taken", "shards", "shuffle_key")
+
+
+def added_names(columns: list[str]) -> dict[str, str]:
+    """The names of what is added to documents with these columns: one that they have gets ``mix_`` before it."""
+    return {c: unused(c, columns, "mix_") for c in ADDED}
+
+
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7) -> DataFrame:
     """Add size, source_size, target, copies, part, taken and shards to every document.
 
     The mix takes ``copies`` whole copies of a document and the first ``part`` words once more (part is 0 but for the
     one document a source is cut at; rows equal in doc_id and size share that place); ``shards`` lists the output shard
     of each of them, ``shuffle_key`` the order within a shard. Sources go by code point, null last, and weigh
-    ``weights`` in turn. Null text and text without words have size 0 and take nothing. Columns of other names stay.
-    An empty table gives no rows.
+    ``weights`` in turn. Null text and text without words have size 0 and take nothing. All columns of the documents
+    stay as they are; see :func:`added_names` for the names of what is added. Texts are only counted, never moved or
+    cut; rows that repeat are taken each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    sized = docs.withColumns({"size": words(F.col("text")), "_doc": F.col("doc_id")})
-    sized = sized.withColumns(dict(zip(("_none", "_source"), _source_key(F.col("source")), strict=True)))
+    names_out = added_names(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    sized = docs.select(row, words(F.col("text")).alias("size"), F.col("doc_id").alias("_doc"), *_source_key(F.col("source")))
     order = F.xxhash64(F.lit(seed), F.col("_doc"), F.col("size")).alias("_order")
-    if not sized.limit(1).count():
-        return sized.select(*docs.columns, "size", *(F.lit(None).cast(t).alias(c) for c, t in (("source_size", "long"), ("target", "double"), ("copies", "int"), ("part", "long"), ("taken", "long"), ("shards", "array<int>"), ("shuffle_key", "long"))))
     narrow = save(sized.select("_none", "_source", order, "size"), "sizes")
     totals = sorted((r["_none"], r["_source"].encode(), r["n"], r["docs"]) for r in narrow.groupBy("_none", "_source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect())
+    if not totals:
+        kinds = dict(zip(ADDED, ("long", "long", "double", "int", "long", "long", "array<int>", "long"), strict=True))
+        return docs.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.lit(None).cast(t).alias(names_out[c]) for c, t in kinds.items()))
     sizes = [t[2] for t in totals]
     whole = sum(sizes)
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * whole, most)
@@ -115,6 +127,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     running = Window.partitionBy("_none", "_source").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("end", F.sum("n").over(running)).filter("end >= _rest").groupBy("_none", "_source").agg(F.min(F.struct("_order", "n", "end", "rows", "_rest")).alias("e"))
     edges = {(r["_none"], r["_source"]): r["e"] for r in edge.collect()}
+    drop(spark, narrow)
 
     # whole passes and the drawn part are dealt out to shards separately for each pass
     plan: dict[tuple, list[int]] = {}
@@ -143,16 +156,20 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     })
     extra = F.when(more | (F.col("part") > 0), F.array("_extra")).otherwise(none)
     out = out.withColumns({"shards": F.when(some, F.concat("_shards", extra)).otherwise(none), "taken": F.col("copies") * F.col("size") + F.col("part")})
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", "part", "taken", "shards", "shuffle_key")
+    return out.select("_row.*", *(F.col(c).alias(names_out[c]) for c in ADDED))
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix as documents: a row for each copy; the first words of a cut document, one space between, are a row too."""
+    """The mix of documents with these columns, as documents: a row for each copy; the first words of a cut document,
+    one space between, are a row too. Columns other than text (and n_chars, its length) stay as they are."""
     none = F.array().cast("array<int>")
-    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(none)
-    rows = mixed.withColumn("_copy", F.explode(F.concat(copies, F.when(F.col("part") > 0, F.array(F.lit(0))).otherwise(none))))
-    word = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = rows.withColumn("text", F.when(F.col("_copy") == 0, F.array_join(F.slice(word, F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_copy") == 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*columns)
+    names = added_names(columns)
+    copies, part = F.col(names["copies"]), F.col(names["part"])
+    each = F.concat(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(none), F.when(part > 0, F.array(F.lit(0))).otherwise(none))
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")
+    rows = mixed.select(row, part.cast("int").alias("_part"), F.explode(each).alias("_copy"))
+    word = F.filter(F.split("_row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.col("_copy") == 0
+    rows = rows.withColumn("_text", F.when(cut, F.array_join(F.slice(word, F.lit(1), F.col("_part")), " ")).otherwise(F.col("_row.text")))
+    own = {"text": F.col("_text"), "n_chars": F.when(cut, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars") if "n_chars" in columns else F.lit(None))}
+    return rows.select(*((own[c] if c in own else F.col(f"_row.`{c}`")).alias(c) for c in columns))

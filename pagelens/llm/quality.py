@@ -6,7 +6,9 @@ by the same cycle. A score is the sum of the entries that a row's bins select, s
 
 Features come from the whole text. Defined results: null text counts as empty; empty texts are scored as any other;
 labels that are null are not learned from; without labels, or with labels of one kind only, the tables are empty and
-the score is the share of that kind (0.5 without any).
+the score is the share of that kind (0.5 without any); rows that repeat a doc_id are scored each, and one text of them
+(the least) is learned from; kept columns stay as they are, one called ``score`` too: the score is ``quality_score``
+then; a long text is read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import unused
 from .tokens import arrow_texts
 
 #: Most labelled rows to learn from; beyond it a hash of the doc_id chooses.
@@ -29,7 +32,7 @@ SAMPLE_ROWS = 20_000
 
 NAMES = (
     "log_bytes", "log_words", "word_bytes", "upper_share", "digit_share", "symbol_share", "mark_share", "pipe_share", "high_share", "space_share",
-    "distinct_share", "repeat_share", "top_word_share", "log_lines", "repeated_line_share", "line_words", "stop_share", "end_share",
+    "distinct_share", "repeat_share", "top_word_share", "log_lines", "repeated_line_share", "line_words", "point_share", "end_share",
 )
 
 _CLASS = np.zeros(256, np.int64)
@@ -186,21 +189,28 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id")  # two numbers a row, of sample_rows rows at most
+    joined = joined.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))  # sample_rows rows, whatever repeats
     rows = with_features(joined, ["doc_id", "_label"]).select("doc_id", "_label", "features").toPandas().sort_values(["doc_id", "_label"], kind="stable")
     if not len(rows):
         return AdditiveModel()
     return fit(np.array(rows["features"].tolist()), rows["_label"].to_numpy().astype(float))
 
 
+def score_name(keep: list[str]) -> str:
+    """The name of the score beside these columns."""
+    return unused("score", keep, "quality_")
+
+
 def score(docs: DataFrame, model: AdditiveModel, keep: list[str]) -> DataFrame:
-    """The kept columns and score: the probability that the label is 1."""
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    """The kept columns and the score (see :func:`score_name`): the probability that the label is 1."""
+    own = score_name(keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in keep)).schema)
     columns = keep if "text" in keep else [*keep, "text"]
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([text_features(t) for t in arrow_texts(batch.column(at))], float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.score(x), pa.float64())], names=[*keep, own])
 
-    return docs.select(*columns).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, f"{kinds}, `{own}` double" if kinds else f"`{own}` double")

@@ -43,6 +43,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str], prefix: str) -> str:
+    """The name, with the prefix before it as often as it takes to differ from all columns (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = prefix + name
+    return name
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """While this holds, actions send Python workers so many rows at a time: a bound on memory where rows are wide."""
