@@ -1,17 +1,21 @@
 """Best-first crawls replayed over page snapshots and recorded decisions.
 
 A crawl is a priority queue worked off one page at a time, so it is sequential by nature; many crawls run side by side,
-one group each. What a group holds is the request, the snapshots in its domains and its recorded replies. The outcome
-is an ordered table of events; results and the visit log are projections of it.
+in rounds. Between rounds a crawl is a small row: its request, queue and replies, and the addresses it waits for. A
+round joins those with the snapshots by normal form, gives each crawl the first page that there is, and lets it go on
+until it needs another; so only pages that are visited or verified move, however many a host has. The outcome is an
+ordered table of events; results and the visit log are projections of it.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import UTC, date, datetime, timedelta
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -25,9 +29,20 @@ from pagelens.functions.urls import host_of, host_suffixes, in_domains, is_docum
 from pagelens.operators import candidates as facts
 from pagelens.operators import gates, goals, ranking, robots, verify
 from pagelens.operators.pages import CHALLENGE_CHARS, CHALLENGE_MARKERS, CHALLENGE_STATUSES
+from pagelens.sources.shared import save
 
 TOP_LINKS = 30
-EVENT_SCHEMA = "crawl_id string, seq int, type string, url string, payload string"
+#: Types of events; the last is told by plug-ins that decide without a reply.
+EVENT_TYPES = (
+    "crawl_started", "goal_preprocessed", "page_fetched", "links_ranked", "candidates_extracted", "model_evaluating", "model_decision", "result_found", "destination_verification_failed",
+    "page_skipped", "budget_exhausted", "crawl_complete", "model_skipped",
+)
+#: timestamp is the crawl's own clock: the request's day and the time its fetches took.
+EVENT_SCHEMA = "crawl_id string, seq int, type string, timestamp string, url string, payload string"
+#: Events and, with no type, what a crawl is between two rounds: its state and the addresses it waits for, best first.
+ROUND_SCHEMA = EVENT_SCHEMA + ", state binary, wanted array<struct<norm_url:string,url:string>>"
+#: Addresses that a crawl asks for at once; those without a snapshot are passed over in one round.
+ASK_AHEAD = 16
 
 
 @dataclass(frozen=True)
@@ -77,6 +92,7 @@ class State:
     best_confidence: float = 0.0
     depth_limit_met: bool = False
     out_of_time: bool = False
+    refused: bool = False
     clock_ms: int = 0
 
     def push(self, url: str, score: float, depth: int) -> None:
@@ -95,6 +111,14 @@ class Skipped(Exception):
         self.kind = kind
 
 
+class Wanted(Exception):
+    """A snapshot that a crawl needs to go on is not at hand."""
+
+    def __init__(self, norm: str, url: str):
+        super().__init__(norm)
+        self.norm, self.url = norm, url
+
+
 Event = tuple[str, str | None, dict]
 
 
@@ -102,6 +126,8 @@ class Crawl:
     """One crawl: ``run`` yields (type, url, payload) in order.
 
     Preprocessor, ranker, extractor, verifier and the robots test are plug-ins, callables with the defaults' signatures.
+    An extractor that fails finds nothing, a verifier that fails rejects, a ranker that fails skips the page; the crawl
+    goes on.
     """
 
     def __init__(
@@ -116,8 +142,12 @@ class Crawl:
 
     # what stands for the network and the model
 
-    def fetch(self, norm: str) -> dict:
-        page = self.snapshots.get(norm)
+    def look(self, norm: str, url: str) -> dict | None:
+        """The snapshot of an address, if there is one."""
+        return self.snapshots.get(norm)
+
+    def fetch(self, norm: str, url: str) -> dict:
+        page = self.look(norm, url)
         if page is None:
             raise Skipped("no snapshot", "NetworkError")
         if page.get("error"):
@@ -145,41 +175,61 @@ class Crawl:
 
     # the loop
 
-    def run(self) -> Iterator[Event]:
+    def opening(self) -> Iterator[Event]:
         r, s = self.request, self.state
         yield "crawl_started", r.start_url, {"goal": r.goal, "max_pages": r.max_pages, "max_depth": r.max_depth, "max_results": r.max_results}
         yield "goal_preprocessed", None, {"goal_type": self.goal.goal_type, "anchor_terms": self.goal.anchor_terms, "reference_date": str(self.goal.reference_date) if self.goal.reference_date else None, "source": "fresh"}
         reason = self.blocked(r.start_url)
         if reason:
+            s.refused = True
             yield "page_skipped", r.start_url, {"reason": reason, "error_type": "RobotsError"}
             yield self.complete(None)
+        else:
+            s.push(r.start_url, 0.0, 0)
+
+    def more(self) -> bool:
+        """Whether the crawl goes on."""
+        r, s = self.request, self.state
+        if not s.queue or s.pages >= r.max_pages or (r.max_results is not None and len(s.found) >= r.max_results):
+            return False
+        s.out_of_time = r.total_timeout is not None and s.clock_ms >= 1000 * r.total_timeout
+        return not s.out_of_time
+
+    def step(self) -> Iterator[Event]:
+        """Work off the best address of the queue."""
+        s = self.state
+        _, _, url, depth = heapq.heappop(s.queue)
+        norm = normalize(url)
+        if norm is None or norm in s.visited:
             return
-        s.push(r.start_url, 0.0, 0)
-        while s.queue and s.pages < r.max_pages:
-            if r.total_timeout is not None and s.clock_ms >= 1000 * r.total_timeout:
-                s.out_of_time = True
-                break
-            _, _, url, depth = heapq.heappop(s.queue)
-            norm = normalize(url)
-            if norm is None or norm in s.visited:
-                continue
-            s.visited.add(norm)
-            s.depth = max(s.depth, depth)
-            try:
-                reason = self.blocked(url)
-                if reason:
-                    raise Skipped(reason, "RobotsError")
-                yield from self.visit(url, norm, depth)
-            except Skipped as skip:
-                yield "page_skipped", self.snapshots.get(norm, {}).get("final_url") or url, {"reason": str(skip), "error_type": skip.kind}
-            if r.max_results is not None and len(s.found) >= r.max_results:
-                break
-        yield from self.finish()
+        s.visited.add(norm)
+        s.depth = max(s.depth, depth)
+        try:
+            reason = self.blocked(url)
+            if reason:
+                raise Skipped(reason, "RobotsError")
+            yield from self.visit(url, norm, depth)
+        except Skipped as skip:
+            page = None if skip.kind == "RobotsError" else self.look(norm, url)
+            yield "page_skipped", self.address(page, url, norm), {"reason": str(skip), "error_type": skip.kind}
+
+    def run(self) -> Iterator[Event]:
+        yield from self.opening()
+        if not self.state.refused:
+            while self.more():
+                yield from self.step()
+            yield from self.finish()
+
+    @staticmethod
+    def address(page: dict | None, url: str, norm: str) -> str:
+        """Where a page was found: where it was redirected to, else as it was asked for."""
+        final = (page or {}).get("final_url")
+        return final if final and normalize(final) != norm else url
 
     def visit(self, url: str, norm: str, depth: int) -> Iterator[Event]:
         r, s, goal = self.request, self.state, self.goal
-        page = self.fetch(norm)
-        here = page.get("final_url") or url
+        page = self.fetch(norm, url)
+        here = self.address(page, url, norm)
         s.pages += 1
         yield "page_fetched", here, {"depth": depth, "http_status": page["status"], "fetch_ms": page.get("fetch_ms")}
         if not 200 <= page["status"] < 300:
@@ -189,15 +239,15 @@ class Crawl:
             return
         title, text, links, ranked, scores = self.read(page, here)
         yield "links_ranked", here, {"total_links": len(ranked), "top_links": [{"url": u, "score": v} for u, v in ranked[:TOP_LINKS]]}
-        yield "candidates_extracted", here, {"candidates": [m.value for m in self.extractor(text, links)]}
+        yield "candidates_extracted", here, {"candidates": self.extracted(text, links)}
         yield "model_evaluating", here, {}
         decision = self.decide(norm, here)
         flags = gates.flags(decision, text, goal.goal_type)
         if flags:
             names = {n for n, _ in flags}
             if "zero_links_no_path" in names:
-                page = self.fetch(norm)
-                here = page.get("final_url") or url
+                page = self.fetch(norm, url)
+                here = self.address(page, url, norm)
                 title, text, links, ranked, scores = self.read(page, here)
             yield "model_evaluating", here, {}
             decision = self.decide(norm, here)
@@ -228,9 +278,25 @@ class Crawl:
     def read(self, page: dict, here: str) -> tuple:
         title, text, raw = read_page(page.get("html"), here)
         links = rank_by_zone(raw)
-        ranked = self.ranker(links, self.goal)
+        try:
+            ranked = self.ranker(links, self.goal)
+        except Exception as error:
+            raise Skipped(f"ranker: {error}", "InternalError") from error
         return title, text, links, ranked, {normalize(u): v for u, v in ranked}
 
+    def extracted(self, text: str, links: list[dict]) -> list[str]:
+        try:
+            return [m.value for m in self.extractor(text, links)]
+        except Exception:  # a guard: facts are a help to decide, not needed
+            return []
+
+    def verified(self, url: str, page: dict | None) -> tuple[bool, float | None, str | None]:
+        r = self.request
+        try:
+            return self.verifier(url, page, self.goal.query_terms, self.goal.goal_type, r.verification, r.verify_threshold)
+        except Exception as error:  # a guard: what cannot be verified is rejected
+            return False, None, f"verifier_error: {type(error).__name__}"
+
     def facts(self, text: str, links: list[dict]) -> list[facts.Match]:
         finder = facts.FINDERS.get(self.goal.goal_type)
         if finder:
@@ -260,7 +326,7 @@ class Crawl:
             size = len(page["raw_bytes"])
             passed, reason = size > 0, "empty_response"
         else:
-            passed, _, reason = self.verifier(here, page, self.goal.query_terms, self.goal.goal_type, self.request.verification, self.request.verify_threshold)
+            passed, _, reason = self.verified(here, page)
         if not passed:
             raise Skipped(f"binary_document: {reason}")
         yield self.record(here, 1.0, None, "", size)
@@ -272,9 +338,10 @@ class Crawl:
 
     def verify(self, url: str, decision: gates.Decision, text: str, scores: dict, depth: int) -> Iterator[Event]:
         r, s = self.request, self.state
-        s.sent_to_verify += 1
         norm = normalize(url)
-        passed, score, reason = self.verifier(url, self.snapshots.get(norm), self.goal.query_terms, self.goal.goal_type, r.verification, r.verify_threshold)
+        page = self.look(norm, url)
+        s.sent_to_verify += 1
+        passed, score, reason = self.verified(url, page)
         s.verified.append({"url": url, "passed": passed, "score": score, "reason": reason})
         if passed:
             yield self.record(url, decision.confidence, decision.answer, text)
@@ -302,6 +369,7 @@ class Crawl:
             "found": found, "result_count": len(s.found), "result_urls": [x["url"] for x in s.found], "answers": [x["answer"] for x in s.found] if found else None,
             "content": [x["content"] for x in s.found] if self.request.return_content else None, "confidence": max(held, default=0.0), "pages_visited": s.pages, "depth_reached": s.depth,
             "best_candidate_url": None if found else s.best_url, "budget_exhausted": exhausted, "failure_mode": failure, "visit_log": s.log, "verified_candidates": s.verified,
+            "elapsed_ms": s.clock_ms,
         }
 
 
@@ -325,10 +393,10 @@ def robots_test(files: dict[str, dict]) -> Callable[[str], str | None]:
     return blocked
 
 
-def replay_group(crawl_id: str, rows: pd.DataFrame, **plugins: Any) -> pd.DataFrame:
-    """Events of one crawl from its rows: kind (request, page, reply or robots), norm_url, attempt, body (JSON)."""
+def _parts(rows: pd.DataFrame) -> tuple[Request | None, dict[str, dict], dict[str, list], dict[str, dict]]:
+    """Request, snapshots, replies and robots files of one crawl's rows: kind, norm_url, attempt, body (JSON)."""
     request, snapshots, replies, files = None, {}, {}, {}
-    for kind, norm, attempt, body in rows.sort_values(["kind", "norm_url", "attempt"], na_position="first")[["kind", "norm_url", "attempt", "body"]].itertuples(index=False):
+    for kind, norm, attempt, body in rows.sort_values(["kind", "norm_url", "attempt", "body"], na_position="first")[["kind", "norm_url", "attempt", "body"]].itertuples(index=False):
         if kind == "request":
             fields = {k: v for k, v in json.loads(body).items() if v is not None}
             if "today" in fields:
@@ -340,47 +408,188 @@ def replay_group(crawl_id: str, rows: pd.DataFrame, **plugins: Any) -> pd.DataFr
             files.setdefault(norm, json.loads(body))
         else:
             replies.setdefault(norm, []).append(_plain(body))
-    if files:
-        plugins.setdefault("blocked", robots_test(files))
-    events = [] if request is None else list(Crawl(request, snapshots, replies, **plugins).run())
-    return pd.DataFrame([(crawl_id, i, kind, url, json.dumps(payload, ensure_ascii=False)) for i, (kind, url, payload) in enumerate(events)], columns=["crawl_id", "seq", "type", "url", "payload"])
+    return request, snapshots, replies, files
 
 
-def group_rows(requests: DataFrame, snapshots: DataFrame, replies: DataFrame, robots_files: DataFrame | None = None) -> DataFrame:
-    """One table of all that the crawls need: requests, the snapshots in their domains, their replies.
+class _Teller:
+    """Numbers and times a crawl's events."""
 
-    robots_files (host, status, body, error), if given, close the hosts and paths that they close, and hosts that have none.
+    def __init__(self, crawl: Crawl, seq: int = 0):
+        self.crawl, self.seq, self.rows = crawl, seq, []
 
-    requests: the fields of :class:`Request`; snapshots: url, final_url, status, fetch_ms, html, content_length,
-    redirects, error; replies: crawl_id, norm_url, attempt, raw. Snapshots meet crawls by an equality join of the host's
-    suffixes with the crawls' domains.
-    """
-    from pagelens.functions.urls import normalize_udf, start_domain_expr
+    def tell(self, events: list[Event]) -> None:
+        r = self.crawl.request
+        now = datetime.combine(r.today or date(1970, 1, 1), datetime.min.time(), UTC) + timedelta(milliseconds=self.crawl.state.clock_ms)
+        for kind, url, payload in events:
+            self.rows.append((r.crawl_id, self.seq, kind, now.isoformat(), url, json.dumps(payload, ensure_ascii=False)))
+            self.seq += 1
+
+
+EVENT_COLUMNS = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
+
+
+def replay_group(crawl_id: str, rows: pd.DataFrame, **plugins: Any) -> pd.DataFrame:
+    """Events of one crawl from its rows: kind (request, page, reply or robots), norm_url, attempt, body (JSON)."""
+    request, snapshots, replies, files = _parts(rows)
+    if request is None:
+        return pd.DataFrame([], columns=EVENT_COLUMNS)
+    if files:
+        plugins.setdefault("blocked", robots_test(files))
+    crawl = Crawl(request, snapshots, replies, **plugins)
+    teller = _Teller(crawl)
+    for event in crawl.run():
+        teller.tell([event])
+    return pd.DataFrame(teller.rows, columns=EVENT_COLUMNS)
+
+
+class RoundCrawl(Crawl):
+    """A crawl that is given snapshots as it asks for them; between rounds it is a few pickled fields."""
+
+    def __init__(self, request: Request, replies: dict[str, list], files: dict[str, dict], **plugins: Any):
+        if files:
+            plugins.setdefault("blocked", robots_test(files))
+        super().__init__(request, {}, replies, **plugins)
+        self.files, self.known, self.absent = files, {}, set()
+
+    def look(self, norm: str, url: str) -> dict | None:
+        if norm in self.absent:
+            return None
+        if norm not in self.known:
+            raise Wanted(norm, url)
+        return self.known[norm]
+
+    def dump(self) -> bytes:
+        return pickle.dumps((self.request, self.replies, self.files, self.goal, self.state, self.known, self.absent))
+
+    @classmethod
+    def load(cls, data: bytes, **plugins: Any) -> RoundCrawl:
+        request, replies, files, goal, state, known, absent = pickle.loads(data)
+        out = cls(request, replies, files, **{**plugins, "goal": goal})
+        out.state, out.known, out.absent = state, known, absent
+        return out
+
+    def ahead(self, first: Wanted) -> list[tuple[str, str]]:
+        """The address that is needed and those that come next if it has no snapshot."""
+        out = {first.norm: first.url}
+        if first.norm in self.state.visited:  # a page to visit, not a destination to verify
+            for _, _, url, _ in heapq.nsmallest(ASK_AHEAD - 1, self.state.queue):
+                norm = normalize(url)
+                if norm is not None and norm not in self.state.visited and norm not in self.absent:
+                    out.setdefault(norm, url)
+        return list(out.items())
+
+    def advance(self, teller: _Teller) -> list[tuple[str, str]]:
+        """Go on as far as the known snapshots reach; returns the addresses that are needed, none at the end."""
+        while not self.state.refused and self.more():
+            before = pickle.dumps((self.state, self.replies))
+            try:
+                events = list(self.step())
+            except Wanted as wanted:
+                asked = self.ahead(wanted)
+                self.state, self.replies = pickle.loads(before)
+                return asked
+            teller.tell(events)
+            self.known.clear()
+        if not self.state.refused:
+            teller.tell(list(self.finish()))
+        return []
+
+
+def _round_rows(crawl: RoundCrawl, teller: _Teller) -> list[tuple]:
+    wanted = crawl.advance(teller)
+    rows = [(*row, None, None) for row in teller.rows]
+    if wanted:
+        rows.append((crawl.request.crawl_id, teller.seq, None, None, None, None, crawl.dump(), [{"norm_url": n, "url": u} for n, u in wanted]))
+    return rows
+
+
+def _requests_and_replies(requests: DataFrame, replies: DataFrame, robots_files: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What crawls need beside snapshots, as rows of kind, norm_url, attempt and body; and their domains."""
+    from pagelens.functions.urls import start_domain_expr
 
     fields = [c for c in requests.columns if c in Request.__dataclass_fields__]
     asked = requests.select("crawl_id", F.lit("request").alias("kind"), F.lit(None).cast("string").alias("norm_url"), F.lit(0).alias("attempt"), F.to_json(F.struct(*fields), {"dateFormat": "yyyy-MM-dd"}).alias("body"))
     own = F.array(start_domain_expr(F.col("start_url")))
     domains = F.coalesce("allowed_domains", own) if "allowed_domains" in requests.columns else own
     scope = requests.select("crawl_id", F.explode(domains).alias("domain"))
-    known = [c for c in ("final_url", "status", "fetch_ms", "html", "content_length", "redirects", "error") if c in snapshots.columns]
-    located = snapshots.withColumn("norm_url", normalize_udf(F.col("url"))).filter("norm_url IS NOT NULL")
-    located = located.withColumn("domain", F.explode(host_suffixes(F.expr("lower(try_parse_url(norm_url, 'HOST'))"))))
-    seen = located.join(scope, "domain").select("crawl_id", F.lit("page").alias("kind"), "norm_url", F.lit(0).alias("attempt"), F.to_json(F.struct(*known)).alias("body")).dropDuplicates(["crawl_id", "norm_url"])
     said = replies.select("crawl_id", F.lit("reply").alias("kind"), "norm_url", F.col("attempt").cast("int"), F.col("raw").alias("body"))
-    rows = asked.unionByName(seen).unionByName(said)
+    rows = asked.unionByName(said)
     if robots_files is None:
-        return rows
-    near = robots_files.withColumn("domain", F.explode(host_suffixes(F.col("host")))).join(scope, "domain")
-    return rows.unionByName(near.select("crawl_id", F.lit("robots").alias("kind"), F.col("host").alias("norm_url"), F.lit(0).alias("attempt"), F.to_json(F.struct("status", "body", "error")).alias("body")).dropDuplicates(["crawl_id", "norm_url"]))
+        return rows, scope
+    body = F.to_json(F.struct("status", "body", "error"))
+    near = robots_files.withColumn("domain", F.explode(host_suffixes(F.col("host")))).join(scope, "domain").groupBy("crawl_id", "host").agg(F.min(body).alias("body"))
+    return rows.unionByName(near.select("crawl_id", F.lit("robots").alias("kind"), F.col("host").alias("norm_url"), F.lit(0).alias("attempt"), "body")), scope
 
 
-def crawl_events(requests: DataFrame, snapshots: DataFrame, replies: DataFrame, robots_files: DataFrame | None = None, **plugins: Any) -> DataFrame:
-    """crawl_id, seq, type, url, payload of all crawls; one group is one crawl and must fit in a task's memory."""
+def located(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as norm_url, url, h (a hash) and body (JSON)."""
+    from pagelens.functions.urls import normalize_udf
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return replay_group(key[0], rows, **plugins)
+    known = [c for c in ("final_url", "status", "fetch_ms", "html", "content_length", "redirects", "error") if c in snapshots.columns]
+    rows = snapshots.select(normalize_udf(F.col("url")).alias("norm_url"), "url", F.to_json(F.struct(*known)).alias("body")).filter("norm_url IS NOT NULL")
+    return rows.withColumn("h", F.xxhash64("body"))
 
-    return group_rows(requests, snapshots, replies, robots_files).groupBy("crawl_id").applyInPandas(run, EVENT_SCHEMA)
+
+def group_rows(requests: DataFrame, snapshots: DataFrame, replies: DataFrame, robots_files: DataFrame | None = None) -> DataFrame:
+    """One table of all that the crawls need, for streams: requests, every snapshot in their domains, their replies.
+
+    robots_files (host, status, body, error), if given, close the hosts and paths that they close, and hosts that have none.
+
+    requests: the fields of :class:`Request`; snapshots: url, final_url, status, fetch_ms, html, content_length,
+    redirects, error; replies: crawl_id, norm_url, attempt, raw. Snapshots meet crawls by an equality join of the host's
+    suffixes with the crawls' domains. Of snapshots of one address that with the least url stands.
+    """
+    rows, scope = _requests_and_replies(requests, replies, robots_files)
+    pages = located(snapshots).withColumn("domain", F.explode(host_suffixes(F.expr("lower(try_parse_url(norm_url, 'HOST'))"))))
+    seen = pages.join(scope, "domain").groupBy("crawl_id", "norm_url").agg(F.min_by("body", F.struct("url", "h")).alias("body"))
+    return rows.unionByName(seen.select("crawl_id", F.lit("page").alias("kind"), "norm_url", F.lit(0).alias("attempt"), "body"))
+
+
+def crawl_events(requests: DataFrame, snapshots: DataFrame, replies: DataFrame, robots_files: DataFrame | None = None, **plugins: Any) -> DataFrame:
+    """crawl_id, seq, type, timestamp, url, payload of all crawls, run in rounds; arguments as for :func:`group_rows`.
+
+    Of snapshots of one address, that whose url was asked for stands, else that with the least url. A crawl's state must
+    fit in memory (its request, replies, queue and the page at hand); snapshots are joined, never gathered.
+    """
+    spark = requests.sparkSession
+    shots = save(located(snapshots), "snapshots")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    columns = [*EVENT_COLUMNS, "state", "wanted"]
+
+    def begin(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        request, _, said, files = _parts(rows)
+        if request is None:
+            return pd.DataFrame([], columns=columns)
+        crawl = RoundCrawl(request, said, files, **plugins)
+        teller = _Teller(crawl)
+        teller.tell(list(crawl.opening()))
+        return pd.DataFrame(_round_rows(crawl, teller), columns=columns)
+
+    def go_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for seq, state, wanted, pos, body in frame[["seq", "state", "wanted", "pos", "body"]].itertuples(index=False):
+                crawl = RoundCrawl.load(state, **plugins)
+                hit = len(wanted) if _plain(pos) is None else int(pos)
+                crawl.absent.update(w["norm_url"] for w in list(wanted)[:hit])
+                if hit < len(wanted):
+                    crawl.known[wanted[hit]["norm_url"]] = json.loads(body)
+                rows += _round_rows(crawl, _Teller(crawl, seq))
+            yield pd.DataFrame(rows, columns=columns)
+
+    rows, _ = _requests_and_replies(requests, replies, robots_files)
+    done = [save(rows.repartition(tasks, "crawl_id").groupBy("crawl_id").applyInPandas(begin, ROUND_SCHEMA), "crawl-round")]
+    while True:
+        waiting = done[-1].filter("type IS NULL").select("crawl_id", "seq", "state", "wanted")
+        if not waiting.limit(1).count():
+            break
+        asks = waiting.select("crawl_id", F.posexplode("wanted").alias("pos", "w")).select("crawl_id", "pos", F.col("w.norm_url").alias("norm_url"), F.col("w.url").alias("_asked"))
+        best = F.min(F.struct("pos", (F.col("url") != F.col("_asked")).alias("other"), "url", "h", "norm_url")).alias("m")
+        hits = asks.join(shots.select("norm_url", "url", "h"), "norm_url").groupBy("crawl_id").agg(best).select("crawl_id", "m.pos", "m.norm_url", "m.url", "m.h")
+        pages = hits.join(shots, ["norm_url", "url", "h"]).select("crawl_id", "pos", "body").dropDuplicates(["crawl_id"])  # rows alike
+        given = waiting.join(pages, "crawl_id", "left").repartition(tasks, "crawl_id")
+        done.append(save(given.mapInPandas(go_on, ROUND_SCHEMA), "crawl-round"))
+    return reduce(DataFrame.union, (d.filter("type IS NOT NULL").select(*EVENT_COLUMNS) for d in done))
 
 
 RESULT_SCHEMA = (
@@ -405,6 +614,6 @@ def find_link(requests: DataFrame, snapshots: DataFrame, replies: DataFrame) ->
     """crawl_id, found, urls, confidence, pages_visited, best_candidate_url, budget_exhausted, note."""
     every = requests.withColumn("max_results", F.lit(None).cast("int"))
     got = results(crawl_events(every, snapshots, replies))
-    stopped = F.format_string("Search stopped after %d page(s) without finding a match. Try increasing max_pages or max_depth.", "pages_visited")
-    note = F.when(F.col("found"), None).when(F.col("budget_exhausted"), stopped).otherwise(F.format_string("No matching link found after visiting %d page(s).", "pages_visited"))
+    stopped = F.format_string("Stopped at a limit after %d page(s), none of which matched; allow more pages or a greater depth to go on.", "pages_visited")
+    note = F.when(F.col("found"), None).when(F.col("budget_exhausted"), stopped).otherwise(F.format_string("No matching link on the %d page(s) that were visited.", "pages_visited"))
     return got.select("crawl_id", "found", F.col("result_urls").alias("urls"), "confidence", "pages_visited", "best_candidate_url", "budget_exhausted", note.alias("note"))

@@ -85,23 +85,12 @@ def domain_filter(spark, sf_dir):
 # pages
 
 
-@query(r"""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '[ \t]+', ' ', 'g')) AS title FROM pages
-WHERE NOT regexp_matches(regexp_extract(html, '<title>([^<]*)</title>', 1), '&[a-z]*$')
-""")
-def page_title(spark, sf_dir):
-    """Titles that do not end within a character reference (engines differ on those)."""
-    got = pages.features(table(spark, sf_dir, "pages")).select("page_id", "title")
-    cut = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).rlike("&[a-z]*$").alias("_cut"))
-    return got.join(cut, "page_id").filter("NOT _cut").drop("_cut")
-
-
 @query(r"""
 WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&(quot|lt|gt|amp)$', '&\1;') AS t FROM pages)
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t]+', ' ', 'g')) AS title FROM t
 """)
-def page_title_all(spark, sf_dir):
-    """:func:`page_title` of every page: a reference cut at the end counts if its name is whole, else it is text."""
+def page_title(spark, sf_dir):
+    """A reference cut at a title's end counts if its name is whole, else it is text."""
     return pages.features(table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
@@ -142,25 +131,14 @@ def thin_pages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", words.cast("long").alias("words"), (words < gates.THIN_WORDS).alias("thin"))
 
 
-@query("SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS normal FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def text_normal_form(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("item_id", text.normal_form_udf(F.col("text")).alias("normal"))
-
-
-@query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS clean FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*', 's')")
-def text_without_unseen(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", text.strip_unseen_expr(F.col("text")).alias("clean"))
-
-
 @query()
-def text_normal_form_all(spark, sf_dir):
-    """:func:`text_normal_form` over every text; DuckDB has neither NFKC nor case folding."""
+def text_normal_form(spark, sf_dir):
+    """No SQL: the other engine has neither NFKC nor case folding."""
     return table(spark, sf_dir, "benchmark").select("item_id", text.normal_form_udf(F.col("text")).alias("normal"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\x{AD}\\x{200B}-\\x{200F}\\x{2028}-\\x{202E}\\x{2060}-\\x{2064}\\x{2066}-\\x{206F}\\x{FEFF}]', '', 'g') AS clean FROM documents")
-def text_without_unseen_all(spark, sf_dir):
-    """:func:`text_without_unseen` over every text."""
+def text_without_unseen(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_unseen_expr(F.col("text")).alias("clean"))
 
 
@@ -203,34 +181,30 @@ def temporal_bonus_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(dates.recency_bonus_expr(when, F.lit(TODAY)), 9).alias("bonus"))
 
 
-@query("""
-WITH a AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE year(o_orderdate) >= 2000),
-x AS (SELECT o_orderkey, CASE WHEN d <= DATE '2010-01-01' + 14 THEN date_diff('day', d, DATE '2010-01-01') END AS document_age FROM a)
-SELECT o_orderkey, document_age, coalesce(document_age > 28, false) AS is_stale FROM x
-""")
-def stale_documents(spark, sf_dir):
-    """Ages of documents whose addresses carry the orders' dates, of the years that addresses are read for."""
-    rows = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") >= 2000)
-    rows = rows.select("o_orderkey", F.concat(F.lit("https://example.com/bulletins/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("B.pdf")).alias("link_url"))
-    return gates.stale_columns(rows, date(2010, 1, 1)).select("o_orderkey", "document_age", "is_stale")
-
-
 @query("""
 WITH a AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders),
 x AS (SELECT o_orderkey, CASE WHEN year(d) BETWEEN 2000 AND 2099 AND d <= DATE '2010-01-01' + 14 THEN date_diff('day', d, DATE '2010-01-01') END AS document_age FROM a)
 SELECT o_orderkey, document_age, coalesce(document_age > 28, false) AS is_stale FROM x
 """)
-def stale_documents_all(spark, sf_dir):
-    """:func:`stale_documents` over every order; years that no address is read for give no age."""
+def stale_documents(spark, sf_dir):
+    """Ages of documents whose addresses carry the orders' dates; years that no address is read for give no age."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("https://example.com/bulletins/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("B.pdf")).alias("link_url"))
     return gates.stale_columns(rows, date(2010, 1, 1)).select("o_orderkey", "document_age", "is_stale")
 
 
-@query()
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS d FROM lineitem),
+r AS (SELECT *, CASE WHEN year(d) >= 2000 THEN d WHEN l_orderkey % 3 = 0 AND strftime(d, '%m-%d') <> '02-29' THEN make_date(CASE WHEN strftime(d, '%m-%d') <= '01-15' THEN 2002 ELSE 2001 END, month(d), day(d)) END AS x FROM t)
+SELECT l_orderkey, l_linenumber, strftime(x, '%Y-%m-%d') AS link_date FROM r
+""")
 def link_dates(spark, sf_dir):
-    """Dates read from links that name the day of shipping in three ways."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Shipped "), F.date_format("l_shipdate", "MMMM d, yyyy")).alias("text"), F.concat(F.lit("https://example.com/ship/"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("/")).alias("url"))
-    return rows.select("l_orderkey", "l_linenumber", dates.link_date_udf(F.col("text"), F.col("url"), TODAY).alias("link_date"))
+    """Dates read from links that name the day of shipping in words, with dashes or without; years before 2000 are not
+    read, so a day in words then counts in the likely year."""
+    form, day = F.col("l_orderkey") % 3, F.col("l_shipdate")
+    text = F.when(form == 0, F.concat(F.lit("Shipped "), F.date_format(day, "MMMM d, yyyy"))).otherwise("Shipped")
+    url = F.concat(F.lit("https://example.com/ship/"), F.when(form == 1, F.date_format(day, "yyyy-MM-dd")).when(form == 2, F.date_format(day, "yyyyMMdd")).otherwise("list"), F.lit("/"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"), url.alias("url"))
+    return rows.select("l_orderkey", "l_linenumber", F.date_format(dates.link_date_udf(F.col("text"), F.col("url"), date(2002, 1, 1)), "yyyy-MM-dd").alias("link_date"))
 
 
 # candidates
@@ -387,28 +361,9 @@ def embedding_cosine(spark, sf_dir):
     return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(verify.cosine(F.col("embedding"), F.col("_q")), 9).alias("similarity"))
 
 
-@query(r"""
-WITH c AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 30)) AS chunk, FROM documents WHERE lang = 'en'),
-w AS (SELECT doc_id, row_number() OVER () AS chunk_no, list_filter(regexp_split_to_array(lower(chunk), '\s+'), lambda x: x <> '') AS words FROM c),
-p AS (SELECT doc_id, 2 * count(*) + 1 AS n, (sum(len(words)) + count(*) + 1) / (2.0 * count(*) + 1) AS mean FROM w GROUP BY 1),
-t AS (SELECT doc_id, chunk_no, len(words) AS len, unnest(list_filter(words, lambda x: x IN ('the', 'eran'))) AS word FROM w),
-h AS (SELECT doc_id, chunk_no, len, word, count(*) AS tf FROM t GROUP BY ALL),
-d AS (SELECT doc_id, word, count(*) AS df FROM h GROUP BY ALL),
-s AS (SELECT h.doc_id, h.chunk_no, sum((ln(n - df + 0.5) - ln(df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS s FROM h JOIN d USING (doc_id, word) JOIN p USING (doc_id) GROUP BY ALL),
-m AS (SELECT doc_id, max(s) AS score FROM s GROUP BY 1)
-SELECT p.doc_id AS page_id, round(coalesce(m.score, 0), 6) AS score FROM p LEFT JOIN m USING (doc_id)
-""")
-def verify_bm25(spark, sf_dir):
-    """Scores of English documents over their lines of MIN_CHUNK characters, which is what the SQL can cut."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    lines = docs.select(F.col("doc_id").alias("page_id"), F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= verify.MIN_CHUNK)).alias("chunk_no", "chunk"))
-    words = F.filter(F.split(F.lower("chunk"), r"\s+"), lambda w: w != "")
-    return verify.bm25_table(lines.select("page_id", "chunk_no", words.alias("words")), ["the eran"]).select("page_id", F.round("score", 6).alias("score"))
-
-
 @query()
-def verify_bm25_all(spark, sf_dir):
-    """:func:`verify_bm25` over the documents of all languages, in the operator's own chunks and tokens."""
+def verify_bm25(spark, sf_dir):
+    """Every document in the operator's own chunks and tokens; no SQL, as tokens are folded beyond ASCII."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
     scores = verify.bm25_table(verify.text_chunks(docs), ["the eran"])
     return docs.select("page_id").join(scores, "page_id", "left").select("page_id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
@@ -482,6 +437,67 @@ def crawl_events(spark, sf_dir):
     return crawl.crawl_events(*crawl_inputs(spark, sf_dir))
 
 
+#: Addresses of a customer's orders in turn; crawls of four pages at most.
+CHAIN_SQL = """
+o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders),
+c AS (SELECT 'c' || o_custkey AS crawl_id, n, k, 'https://c' || o_custkey || '.example.com/orders/' || o_orderkey AS url FROM o)
+"""
+
+
+def chain_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A host for each customer: its orders are pages that link to the next one and to an old start; the last is the answer.
+
+    Replies name the next page, and a page of another host. A crawl starts at the first order.
+    """
+    from pyspark.sql import Window
+
+    per = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(per).alias("n"), F.lead("o_orderkey").over(per).alias("next"), F.first("o_orderkey").over(per).alias("start"))
+    host = F.concat(F.lit("https://c"), F.col("o_custkey").cast("string"), F.lit(".example.com"))
+    address = lambda key: F.concat(host, F.lit("/orders/"), F.col(key).cast("string"))
+    rows = rows.select("n", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("crawl_id"), address("o_orderkey").alias("url"), address("next").alias("next"), address("start").alias("start"))
+    link = lambda url, label: F.when(url.isNotNull(), F.concat(F.lit('<a href="'), url, F.lit(f'#top">{label}</a>')))
+    html = F.concat_ws("", F.lit("<title>Order</title><p>" + "Details of an order and its lines. " * 12 + "</p>"), link(F.col("next"), "Next order"), link(F.col("start"), "First order"))
+    shots = rows.select("url", F.lit(200).alias("status"), html.alias("html"), F.lit(0).alias("fetch_ms"))
+    limits = {"max_pages": 4, "max_depth": 9, "max_results": 1}
+    requests = rows.filter("n = 1").select("crawl_id", F.col("url").alias("start_url"), F.lit("Find the last order").alias("goal"), *(F.lit(v).alias(k) for k, v in limits.items()), F.lit("existence").alias("verification"))
+    last = F.col("next").isNull()
+    follow = F.array(F.lit("https://elsewhere.example.org/"), F.coalesce("next", F.col("url")))
+    reply = F.struct(last.alias("found"), F.when(last, 0.9).otherwise(0.3).alias("confidence"), F.when(last, F.col("url")).alias("result_url"), follow.alias("links_to_follow"), F.lit("Judged.").alias("reasoning"))
+    replies = rows.select("crawl_id", F.col("url").alias("norm_url"), F.lit(1).alias("attempt"), F.to_json(reply, {"ignoreNullFields": "false"}).alias("raw"))
+    return requests, shots, replies
+
+
+@query(f"WITH {CHAIN_SQL} SELECT crawl_id, n AS visit_no, url, n - 1 AS depth, n = k AS found FROM c WHERE n <= 4")
+def crawl_chain_visits(spark, sf_dir):
+    """Crawls of several pages: each page's depth and judgement, in the order of visits."""
+    found = crawl.results(crawl.crawl_events(*chain_inputs(spark, sf_dir)))
+    return crawl.visit_log(found).select("crawl_id", "visit_no", F.regexp_replace("url", "#top$", "").alias("url"), "depth", "found")
+
+
+@query(f"""
+WITH {CHAIN_SQL}
+SELECT crawl_id, k <= 4 AS found, least(k, 4) AS pages_visited, least(k, 4) - 1 AS depth_reached, k > 4 AS budget_exhausted, CASE WHEN k > 4 THEN 'budget_exhausted' END AS failure_mode,
+  CASE WHEN k <= 4 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM c WHERE n = 1
+""")
+def crawl_chain_results(spark, sf_dir):
+    """Crawls that end at the answer or at their limits."""
+    got = crawl.results(crawl.crawl_events(*chain_inputs(spark, sf_dir)))
+    return got.select("crawl_id", "found", "pages_visited", "depth_reached", "budget_exhausted", "failure_mode", "confidence")
+
+
+@query(f"""
+WITH {CHAIN_SQL}, v AS (SELECT crawl_id, least(k, 4) AS m, k FROM c WHERE n = 1),
+e AS (SELECT 'crawl_started' AS type, 1 AS n FROM v UNION ALL SELECT 'goal_preprocessed', 1 FROM v UNION ALL SELECT 'crawl_complete', 1 FROM v
+  UNION ALL SELECT unnest(['page_fetched', 'links_ranked', 'candidates_extracted', 'model_evaluating', 'model_decision']), m FROM v
+  UNION ALL SELECT 'result_found', 1 FROM v WHERE k <= 4 UNION ALL SELECT 'budget_exhausted', 1 FROM v WHERE k > 4)
+SELECT type, sum(n)::BIGINT AS n FROM e GROUP BY type
+""")
+def crawl_chain_events(spark, sf_dir):
+    """How often each event is told."""
+    return crawl.crawl_events(*chain_inputs(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT 'c' || page_id AS crawl_id, page_id % 2 = 0 AS found, CASE WHEN page_id % 2 = 0 THEN url END AS result_url, 1 AS pages_visited, CASE WHEN page_id % 2 = 0 THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence FROM pages")
 def crawl_results(spark, sf_dir):
     """Every crawl reads its start page; the ranked links that the odd ones fall back on have no snapshot."""

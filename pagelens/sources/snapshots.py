@@ -23,6 +23,11 @@ def from_files(spark: SparkSession, folder: str, base_url: str) -> DataFrame:
 
 
 def look_up(requests: DataFrame, snapshots: DataFrame, url: str = "url") -> DataFrame:
-    """Each requested URL with its snapshot, by normal form (null columns where there is none)."""
-    known = snapshots.withColumn("norm_url", normalize_udf(F.col("url"))).drop("url").dropDuplicates(["norm_url"])
+    """Each requested URL with its snapshot, by normal form (null columns where there is none).
+
+    Of snapshots of one address that with the least url stands, of those with one url that with the least hash.
+    """
+    rest = [c for c in snapshots.columns if c != "url"]
+    order = F.struct("url", F.xxhash64(*(F.col(f"`{c}`") for c in rest)))
+    known = snapshots.withColumn("norm_url", normalize_udf(F.col("url"))).groupBy("norm_url").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), order).alias("_s")).select("norm_url", "_s.*")
     return requests.withColumn("norm_url", normalize_udf(F.col(url))).join(known, "norm_url", "left").withColumn("is_document", is_document_expr(F.col(url)))

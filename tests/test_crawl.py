@@ -199,3 +199,60 @@ def test_crawl_stream(spark, tables, tmp_path):
     assert sorted(map(tuple, spark.table("crawled").collect())) == sorted(map(tuple, want.collect()))
     events = spark.createDataFrame([(1, "a", 1.0)], "s long, event_type string, value double").select(F.timestamp_seconds("s").alias("ts"), "event_type", "value")
     assert event_counts(events).collect()[0].n == 1
+
+
+def test_rounds_move_only_the_pages_that_are_visited(spark, monkeypatch):
+    """Many crawls of one host: the bytes that move grow with the visits, not with the host's pages."""
+    moved = []
+
+    def snapshot(n):
+        return [(f"{E}/{i}", 200, page((f"Next {i}", f"/{i + 1}"), text=FILLER + "x" * 2000)["html"], 9) for i in range(n)]
+
+    def rows(n):
+        requests = spark.createDataFrame([(str(i), f"{E}/{i}", "Find zebra jobs", 1) for i in range(10)], "crawl_id string, start_url string, goal string, max_pages int")
+        replies = spark.createDataFrame([(str(i), f"{E}/{i}", 1, json.dumps(nav(f"{E}/{i + 1}"))) for i in range(10)], "crawl_id string, norm_url string, attempt int, raw string")
+        return requests, spark.createDataFrame(snapshot(n), "url string, status int, html string, content_length long"), replies
+
+    saved = crawl.save
+
+    def save(df, name):
+        out = saved(df, name)
+        if name == "crawl-round":
+            moved.append(out.agg(F.sum(F.octet_length("state"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(crawl, "save", save)
+    sizes = []
+    for n in (20, 200):
+        moved.clear()
+        got = crawl.results(crawl.crawl_events(*rows(n))).collect()
+        assert len(got) == 10 and all(r.pages_visited == 1 for r in got)
+        sizes.append(sum(moved))
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_the_snapshot_that_was_asked_for_stands(spark):
+    """Two snapshots of one normal form, in both orders: each crawl reads its own, another address the least."""
+    urls = [f"{E}/a", f"{E}/a#top"]
+    shots = [(u, 200, page(text=FILLER + u)["html"], 9) for u in urls]
+    asked = spark.createDataFrame([(c, u, "Find zebra jobs", True) for c, u in (("x", urls[0]), ("y", urls[1]), ("z", f"{E}/a#end"))], "crawl_id string, start_url string, goal string, return_content boolean")
+    replies = spark.createDataFrame([(c, f"{E}/a", 1, json.dumps(nav(found=True, confidence=0.9, url=f"{E}/a"))) for c in "xyz"], "crawl_id string, norm_url string, attempt int, raw string")
+    for order in (shots, shots[::-1]):
+        frame = spark.createDataFrame(order, "url string, status int, html string, content_length long")
+        found = crawl.results(crawl.crawl_events(asked, frame, replies, verifier=lambda *a: (True, None, None)))
+        assert {r.crawl_id: r.content[0].split()[-1] for r in found.collect()} == {"x": urls[0], "y": urls[1], "z": urls[0]}
+        assert {r.crawl_id: r.url for r in crawl.visit_log(found).collect()} == {"x": urls[0], "y": urls[1], "z": f"{E}/a#end"}
+
+
+def test_plugins_that_fail_do_not_end_a_crawl():
+    def fails(*a):
+        raise RuntimeError("no")
+
+    request = crawl.Request("c", E + "/", "Find zebra jobs", today=TODAY)
+    said = {normalize(E + "/"): [nav(found=True, confidence=0.9, url=E + "/")]}
+    for plugin, kind in (("extractor", "result_found"), ("verifier", "destination_verification_failed"), ("ranker", "page_skipped")):
+        more = {} if plugin == "verifier" else {"verifier": lambda *a: (True, None, None)}
+        events = list(crawl.Crawl(request, {normalize(E + "/"): page()}, dict(said), **{plugin: fails}, **more).run())
+        assert kind in kinds(events) and kinds(events)[-1] == "crawl_complete"
+        if plugin == "verifier":
+            assert next(p["reason"] for k, _, p in events if k == kind) == "verifier_error: RuntimeError"

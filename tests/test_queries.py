@@ -44,8 +44,10 @@ def test_query(spark, duck, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = registry.QUERIES["verify_bm25"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(lang,en)" in plan and "source" not in plan.split("ReadSchema")[1].split("\n")[0]
+    plan = registry.QUERIES["thin_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "source" not in plan.split("ReadSchema")[1].split("\n")[0]
+    plan = registry.QUERIES["visited_anti"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_type,purchase)" in plan
     plan = registry.QUERIES["url_host_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan
 

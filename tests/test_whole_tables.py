@@ -1,4 +1,4 @@
-"""Queries named ..._all keep every row of their table, those with no counterpart in the other engine included."""
+"""Queries keep every row of their table, those with no counterpart in the other engine included."""
 
 import pytest
 
@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stale_documents_keep_every_order(spark):
-    got = registry.QUERIES["stale_documents_all"](spark, SF)
+    got = registry.QUERIES["stale_documents"](spark, SF)
     orders = registry.table(spark, SF, "orders")
     old = orders.filter("year(o_orderdate) < 2000").select("o_orderkey")
     assert got.count() == orders.count() and old.count() > 0
@@ -19,7 +19,7 @@ def test_stale_documents_keep_every_order(spark):
 
 def test_verify_bm25_scores_every_document(spark):
     docs = {r.doc_id: r for r in registry.table(spark, SF, "documents").collect()}
-    got = {r.page_id: r.score for r in registry.QUERIES["verify_bm25_all"](spark, SF).collect()}
+    got = {r.page_id: r.score for r in registry.QUERIES["verify_bm25"](spark, SF).collect()}
     assert got.keys() == docs.keys() and any(got[i] > 0 and r.lang != "en" for i, r in docs.items())
     for i, r in docs.items():
         assert got[i] == pytest.approx(verify.bm25(r.text or "", ["the eran"]), abs=2e-6)
@@ -33,7 +33,7 @@ def test_bm25_of_chunks_that_sql_cannot_cut(spark):
 
 
 def test_text_queries_keep_every_text(spark):
-    for name, source, key, out, plain in (("text_normal_form_all", "benchmark", "item_id", "normal", text.normal_form), ("text_without_unseen_all", "documents", "doc_id", "clean", text.strip_unseen)):
+    for name, source, key, out, plain in (("text_normal_form", "benchmark", "item_id", "normal", text.normal_form), ("text_without_unseen", "documents", "doc_id", "clean", text.strip_unseen)):
         rows = {r[key]: r.text for r in registry.table(spark, SF, source).collect()}
         got = {r[key]: r[out] for r in registry.QUERIES[name](spark, SF).collect()}
         assert not all(t.isascii() for t in rows.values())
@@ -45,7 +45,7 @@ def test_texts_that_sql_cannot_fold(spark, tmp_path):
     frame = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
     frame.withColumnRenamed("doc_id", "item_id").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for name, key, out, plain in (("text_normal_form_all", "item_id", "normal", text.normal_form), ("text_without_unseen_all", "doc_id", "clean", text.strip_unseen)):
+    for name, key, out, plain in (("text_normal_form", "item_id", "normal", text.normal_form), ("text_without_unseen", "doc_id", "clean", text.strip_unseen)):
         got = {r[key]: r[out] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {i: None if t is None else plain(t) for i, t in enumerate(odd)}
 
@@ -53,5 +53,5 @@ def test_texts_that_sql_cannot_fold(spark, tmp_path):
 def test_titles_that_end_within_a_reference(spark, tmp_path):
     want = {"a&amp;&amp": "a&&", "a &am": "a &am", "a&": "a&", "a &lt": "a <", "x&quot": 'x"', "x&amp;lt": "x&lt", "plain": "plain"}
     spark.createDataFrame([(i, "https://e.com/", f"<html><head><title>{t}</title></head><body>b</body></html>") for i, t in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.page_id: r.title for r in registry.QUERIES["page_title_all"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: r.title for r in registry.QUERIES["page_title"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(want.values()))
