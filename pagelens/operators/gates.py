@@ -115,6 +115,10 @@ def schema_columns(decisions: DataFrame, raw: str = "raw") -> DataFrame:
         "_answer": F.when(F.col("_answer_t") == "STRING", scrub(text("$.answer"), MAX_ANSWER)),
         "_links": F.expr("try_variant_get(_v, '$.links_to_follow', 'array<variant>')"),
     })
+    # one row of one struct: a generator, which the optimizer neither inlines nor moves filters through, so that the
+    # rules below read finished columns and their generated code stays small
+    made = [c for c in rows.columns if c not in decisions.columns]
+    rows = rows.select(*decisions.columns, F.explode(F.array(F.struct(*made))).alias("_p")).select(*decisions.columns, "_p.*")
     has = lambda name: F.array_contains("_keys", name)
     none = lambda c: F.col(c).isNull() | (F.col(c) == "VOID")
     blank = lambda c: F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")) == ""
@@ -130,7 +134,7 @@ def schema_columns(decisions: DataFrame, raw: str = "raw") -> DataFrame:
     ]
     error = F.coalesce(*(F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for broken, name in rules))
     strings = F.expr("transform(filter(_links, x -> schema_of_variant(x) = 'STRING'), x -> try_variant_get(x, '$', 'string'))")
-    rows = rows.withColumn("error", error)
+    rows = rows.select("*", F.explode(F.array(error)).alias("error"))
     good = F.col("error").isNull()
     rows = rows.withColumns({
         "found": F.when(good, F.col("_found")), "confidence": F.when(good, F.col("_conf")), "result_url": F.when(good, F.col("_url")),
@@ -161,20 +165,18 @@ def flags(decision: Decision, page_text: str, goal_type: str | None) -> list[tup
     out = []
     said = mirrored(decision.reasoning)
     if said is not None:
-        out.append(("instruction_mirroring", f"Reasoning contains injection-like language (matched pattern: {said!r})"))
+        out.append(("instruction_mirroring", f"the reasoning repeats an instruction: {said!r}"))
     words = len(page_text.split())
     if words < THIN_WORDS and decision.confidence > SPIKE_CONFIDENCE and not (goal_type == "document_link" and decision.found):
-        out.append(("confidence_spike", f"Confidence {decision.confidence:.2f} on a page with only {words} visible words (threshold: {THIN_WORDS} words / {SPIKE_CONFIDENCE} confidence)"))
+        out.append(("confidence_spike", f"{decision.confidence:.2f} is much confidence for {words} words (over {SPIKE_CONFIDENCE} takes {THIN_WORDS})"))
     if not decision.found and not decision.links_to_follow:
-        out.append(("zero_links_no_path", "Model returned found=False with an empty links_to_follow — no navigation path available."))
+        out.append(("zero_links_no_path", "nothing found and no link to follow"))
     return out
 
 
 def plausibility(found: Column, confidence: Column, links: Column, reasoning: Column, page_text: Column, goal_type: Column) -> Column:
     """Names of the plausibility flags of a row; an empty array passes."""
-    mirror = F.lit(False)
-    for pattern in MIRRORED:
-        mirror = mirror | reasoning.rlike("(?iU)" + pattern)
+    mirror = reasoning.rlike(f"(?iU){'|'.join(f'(?:{p})' for p in MIRRORED)}")
     spike = (word_count(page_text) < THIN_WORDS) & (confidence > SPIKE_CONFIDENCE) & ~(F.coalesce(goal_type == "document_link", F.lit(False)) & found)
     stuck = ~found & (F.coalesce(F.size(links), F.lit(0)) <= 0)
     named = F.array(F.when(mirror, "instruction_mirroring"), F.when(spike, "confidence_spike"), F.when(stuck, "zero_links_no_path"))

@@ -244,9 +244,26 @@ def test_result_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, "../../etc/a.txt", "https://e.com/x"), (2, None, "https://e.com/d/a.txt?q"), (3, ".hidden", "https://e.com/"), (4, "a\x00.txt", "u"), (5, "a (2).txt", "u")], "i int, s string, u string")
     named = results.distinct_names(rows.select("i", results.result_name(F.col("s"), F.col("u")).alias("name"), F.lit(b"x").alias("content")), ["i"])
     got = {r.i: r.file_name for r in named.collect()}
-    assert got[1] == "a.txt" and got[5] == "a (2).txt" and got[3] == "result" and got[4] == "a (3).txt" and len(set(got.values())) == 5
+    assert got[1] == "a.txt" and got[5] == "a (2).txt" and got[3] == "result" and got[2] == "a (3).txt" and got[4] == "a (4).txt" and len(set(got.values())) == 5
     written = results.write_results(named, str(tmp_path / "out")).collect()
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(r.file_name for r in written)
+    # a second job's files of the same names take other ones; nothing is overwritten
+    again = results.write_results(named.withColumn("content", F.lit(b"other")), str(tmp_path / "out")).collect()
+    files = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    assert len(files) == 10 and all(files[r.file_name] == b"x" for r in written) and all(files[r.file_name] == b"other" for r in again)
+    # the same files once more, as when a task is run again
+    assert sorted(r.file_name for r in results.write_results(named, str(tmp_path / "out")).collect()) == sorted(r.file_name for r in written) and len(list((tmp_path / "out").iterdir())) == 10
+
+
+def test_numbers_pass_over_names_that_are_spelled_out(spark):
+    names = ["a.txt"] * 6 + ["a (2).txt", "a (2).txt", "a (4).txt", "a (2) (2).txt", "result", "result", "result (3)", "b (1).txt", "b.txt", "b.txt"]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = {r.i: r.file_name for r in results.distinct_names(rows, ["i"]).collect()}
+    want, reserved = {}, set(names)
+    for i, name in enumerate(names):
+        taken = set(want.values())
+        want[i] = name if name not in taken else next(c for c in results.candidate_names(name) if c not in taken and c not in reserved)
+    assert got == want and len(set(got.values())) == len(names)
 
 
 def test_scoring(spark):
