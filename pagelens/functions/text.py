@@ -85,3 +85,12 @@ def is_visible(answer: str, title: str, text: str) -> bool:
     if "." not in wanted:
         return wanted in page
     return re.search(r"\s*\.\s*".join(re.escape(x) for x in wanted.split(".")), page) is not None
+
+
+def visible_udf(answer: Column, title: Column, text: Column) -> Column:
+    """:func:`is_visible` of each row; a null answer is visible."""
+
+    def run(answers: pd.Series, titles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([a is None or is_visible(a, t or "", x or "") for a, t, x in zip(answers, titles, texts, strict=True)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(answer, title, text)

@@ -14,12 +14,12 @@ from datetime import date
 from typing import Any
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.dates import document_age_udf, is_stale
-from pagelens.functions.text import is_visible, scrub, scrub_text, word_count
-from pagelens.functions.urls import host_of, in_domains, is_web_url, normalize
+from pagelens.functions.text import is_visible, scrub, scrub_text, visible_udf, word_count
+from pagelens.functions.urls import host_of, in_domains, is_web_url, normalize, normalize_udf
 
 from .goals import Goal
 
@@ -208,8 +208,53 @@ def accepted(decision: Decision, page_url: str, title: str, text: str, links: It
     return stands, url if stands else None, [x for x in decision.links_to_follow if normalize(x) in on_page]
 
 
+def result_check(decisions: DataFrame, pages: DataFrame, found: DataFrame) -> DataFrame:
+    """:func:`accepted` of tables: decisions (page_id, found, result_url, answer) with stands and the URL that stands.
+
+    pages: page_id, url, title, text; found: the pages' links (page_id, norm_url).
+    """
+    page = pages.select("page_id", F.col("url").alias("_page"), F.col("title").alias("_title"), F.col("text").alias("_text"))
+    rows = decisions.join(page, "page_id")
+    rows = rows.withColumn("_url", F.when(F.col("found") & F.col("answer").isNotNull(), F.col("_page")).otherwise(F.col("result_url")))
+    rows = rows.withColumns({"_norm": normalize_udf(F.col("_url")), "_own": normalize_udf(F.col("_page"))})
+    links = found.select("page_id", F.col("norm_url").alias("_norm")).distinct().withColumn("_there", F.lit(True))
+    rows = rows.join(links, ["page_id", "_norm"], "left")
+    on_page = F.col("_url").isNull() | F.coalesce(F.col("_norm") == F.col("_own"), F.lit(False)) | F.col("_there").isNotNull()
+    visible = F.when(F.col("answer").isNull(), True).otherwise(visible_udf(F.col("answer"), F.col("_title"), F.col("_text")))
+    rows = rows.withColumn("stands", F.col("found") & on_page & visible)
+    return rows.select(*decisions.columns, "stands", F.when(F.col("stands"), F.col("_url")).alias("checked_url"))
+
+
 # Staleness
 
+def fresh_links(ranked: DataFrame, reference: date, limit: int = FALLBACK_LINKS) -> DataFrame:
+    """page_id, link_url, norm_url, choice (from 1) of the best relevant links that are no stale documents, each address
+    once; ranked: page_id, link_url, norm_url, score, rank and open (not visited, in the crawl's domains)."""
+    rows = stale_columns(ranked.filter(F.col("open") & (F.col("score") > 0)), reference).filter(~F.col("is_stale"))
+    once = rows.groupBy("page_id", "norm_url").agg(F.min(F.struct("rank", "link_url")).alias("l"))
+    choice = F.row_number().over(Window.partitionBy("page_id").orderBy("l.rank", "norm_url"))
+    return once.select("page_id", F.col("l.link_url").alias("link_url"), "norm_url", choice.alias("choice")).filter(F.col("choice") <= limit)
+
+
+def downgrade(claims: DataFrame, ranked: DataFrame, reference: date) -> DataFrame:
+    """Claims (page_id, found, result_url, links_to_follow) of a goal for the newest document: one whose document is
+    stale, where the page has fresher links, is no find; those links (three at most) are to be followed."""
+    rows = stale_columns(claims, reference, "result_url").withColumn("_norm", normalize_udf(F.col("result_url")))
+    fresh = fresh_links(ranked, reference, FALLBACK_LINKS + 1).join(rows.select("page_id", "_norm"), "page_id").filter(~F.coalesce(F.col("norm_url") == F.col("_norm"), F.lit(False)))
+    fresh = fresh.groupBy("page_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("choice", "link_url"))), lambda x: x["link_url"]), 1, FALLBACK_LINKS).alias("_fresh"))
+    gone = F.col("found") & F.col("is_stale") & F.col("_fresh").isNotNull()
+    out = rows.join(fresh, "page_id", "left").withColumn("_gone", gone)
+    made = {"found": F.col("found") & ~F.col("_gone"), "result_url": F.when(~F.col("_gone"), F.col("result_url")), "links_to_follow": F.when(F.col("_gone"), F.concat("links_to_follow", "_fresh")).otherwise(F.col("links_to_follow"))}
+    return out.select(*((made[c] if c in made else F.col(c)).alias(c) for c in claims.columns), F.col("_gone").alias("downgraded"))
+
+
+def without_stale(follow: DataFrame, ranked: DataFrame, reference: date) -> DataFrame:
+    """Links to follow (page_id, link_url), without stale documents where the page has a fresher path."""
+    fresher_pages = fresh_links(ranked, reference, 1).select("page_id").withColumn("_fresher", F.lit(True))
+    rows = stale_columns(follow, reference).join(fresher_pages, "page_id", "left")
+    return rows.filter(F.col("_fresher").isNull() | ~F.col("is_stale")).select(*follow.columns)
+
+
 def explorable(ranked: Iterable[tuple[str, float]], *, visited: set[str], domains: frozenset[str], reference: date | None, limit: int = FALLBACK_LINKS, besides: str | None = None, relevant: bool = False) -> list[tuple[str, float]]:
     """The best links that a crawl could go to: not visited, in its domains, no stale document, each once."""
     out: dict[str, tuple[str, float]] = {}

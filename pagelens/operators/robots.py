@@ -36,7 +36,7 @@ def parse(body: str, agent: str = AGENT) -> tuple[RobotFileParser | None, float]
         rules.parse(body.splitlines())
         own, every = rules.crawl_delay(agent), rules.crawl_delay("*")
         return rules, float(own if own is not None else every or 0)
-    except Exception:
+    except (ValueError, UnicodeError):
         return None, 0.0
 
 

@@ -73,6 +73,29 @@ def url_safety(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.unsafe_reason_udf(F.col("url")).alias("reason"))
 
 
+#: Hosts of all kinds, and why they must not be fetched.
+HOSTS = (
+    ("http://localhost/a", "localhost"), ("http://127.0.0.1/", "non_public:127.0.0.1"), ("http://10.1.2.3/", "non_public:10.1.2.3"), ("http://0177.0.0.1/", "non_public:127.0.0.1"),
+    ("http://2130706433/", "non_public:127.0.0.1"), ("http://[::1]/", "non_public:::1"), ("http://169.254.169.254/latest", "metadata_host"), ("http://8.8.8.8/", None), ("ftp://e.com/", "scheme:ftp"), ("https://e.com./", None),
+)
+
+
+@query(f"SELECT event_id, [{', '.join('NULL' if r is None else repr(r) for _, r in HOSTS)}][1 + event_id % {len(HOSTS)}] AS reason FROM events")
+def url_safety_hosts(spark, sf_dir):
+    """Local, private, octal, decimal, IPv6 and metadata hosts beside public ones."""
+    url = F.element_at(F.array(*(F.lit(u) for u, _ in HOSTS)), (F.col("event_id") % len(HOSTS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", urls.unsafe_reason_udf(url).alias("reason"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'order ' || o_orderkey || '.pdf' WHEN 1 THEN o_orderkey || '.csv' END AS filename FROM orders")
+def suggested_filenames(spark, sf_dir):
+    """Names from a header, from the address, and none."""
+    kind, key = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    header = F.when(kind == 0, F.concat(F.lit('attachment; filename="order '), key, F.lit('.pdf"')))
+    url = F.concat(F.lit("https://e.com/files/"), F.when(kind == 1, F.concat(key, F.lit(".csv?v=1.2"))).otherwise("list"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", urls.filename_expr(header, url).alias("filename"))
+
+
 @query(f"SELECT page_id, {HOST_SQL} LIKE '%.example.com' AS allowed FROM pages")
 def domain_filter(spark, sf_dir):
     """The suffixes of each host meet the domain list by equality, not row by row."""
@@ -119,6 +142,26 @@ def page_sanitized(spark, sf_dir):
     return pages.sanitized(table(spark, sf_dir, "pages"))
 
 
+def _part_pages(spark, sf_dir):
+    """A page for each part: its name in the open, other things hidden in eight ways."""
+    name, key = F.col("p_name"), F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit('<html><head><style>.x{display:none} p#y{visibility:hidden}</style><meta name="a" content="b"><title>Part '), key, F.lit('</title></head><body><p class="x">hid</p><p hidden>h</p><div style="opacity:0">o</div><p style="font-size:0">z</p><script>s()</script><!-- c --><p id="y">v</p><p style="position:absolute;left:-9999px">far</p><p>'),
+        name, F.lit(" &amp; more<b>\u200b 1</b></p></body></html>"),
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://e.com/"), key).alias("url"), html.alias("html"))
+
+
+@query("SELECT p_partkey AS page_id, '<html><head><meta name=\"a\"><title>Part ' || p_partkey || '</title></head><body><p>' || p_name || ' &amp; more<b> 1</b></p></body></html>' AS html FROM part")
+def part_pages_sanitized(spark, sf_dir):
+    return pages.sanitized(_part_pages(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS page_id, 'Part ' || p_partkey AS title, 'Part ' || p_partkey || ' ' || p_name || ' & more 1' AS text FROM part")
+def part_pages_text(spark, sf_dir):
+    return pages.features(_part_pages(spark, sf_dir)).select("page_id", "title", "text")
+
+
 @query("SELECT page_id, 200 IN (200, 403, 429, 503) AND (contains(lower(substr(html, 1, 4096)), 'h-captcha') OR contains(lower(substr(html, 1, 4096)), 'just a moment...')) AS challenge, regexp_matches(html, '(?i)<input\\b[^>]*\\btype\\s*=\\s*[\"'']?password') AS login_form FROM pages")
 def challenge_and_login(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
@@ -264,6 +307,37 @@ def address_candidates(spark, sf_dir):
     return candidates.candidates(docs, goals.preprocess("Find the address", today=TODAY)).select("page_id", "value", "raw_value", "position", "score", "rank")
 
 
+def _customer_facts(spark, sf_dir, goal_text: str, text):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), text.alias("text"), F.array().cast(f"array<{pages.LINK_TYPE}>").alias("links"))
+    return candidates.candidates(rows, goals.preprocess(goal_text, today=TODAY)).select("page_id", "value", "raw_value", "position")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, 200 + c_custkey % 700 AS a, 200 + c_custkey % 611 AS e, c_custkey % 9973 AS s FROM customer)
+SELECT k AS page_id, printf('+1-%d-%d-%04d', a, e, s) AS value, printf('(%d) %d-%04d', a, e, s) AS raw_value, 11 AS position FROM c
+""")
+def phone_values(spark, sf_dir):
+    """A phone number for each customer in running text."""
+    k = F.col("c_custkey")
+    return _customer_facts(spark, sf_dir, "Find the phone number", F.format_string("Call us at (%d) %d-%04d or by mail", 200 + k % 700, 200 + k % 611, k % 9973))
+
+
+@query("SELECT c_custkey AS page_id, printf('%d Oak Street, Springfield', 1 + c_custkey % 9999) AS value, printf('%d  Oak Street, Springfield', 1 + c_custkey % 9999) AS raw_value, 10 AS position FROM customer")
+def address_values(spark, sf_dir):
+    """An address for each customer in running text."""
+    return _customer_facts(spark, sf_dir, "Find the address", F.format_string("We are at %d  Oak Street, Springfield; come in", 1 + F.col("c_custkey") % 9999))
+
+
+@query("SELECT o_orderkey AS page_id, 'https://e.com/d/order-' || o_orderkey || '.pdf' AS value, 'Order ' || o_orderkey AS raw_value FROM orders WHERE o_orderkey % 2 = 0")
+def document_values(spark, sf_dir):
+    """Links to a document on even orders' pages, to a page on odd ones'."""
+    key = F.col("o_orderkey").cast("string")
+    html = F.concat(F.lit('<p>List</p><a href="/d/order-'), key, F.when(F.col("o_orderkey") % 2 == 0, ".pdf").otherwise(".html"), F.lit('">Order '), key, F.lit("</a>"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://e.com/").alias("url"), html.alias("html"))
+    goal = goals.Goal("Find the order document", goal_type="document_link", anchor_terms=["order"])
+    return candidates.candidates(pages.features(rows), goal).select("page_id", "value", "raw_value")
+
+
 @query()
 def document_link_candidates(spark, sf_dir):
     """Links of the pages with a given ending stand for document links: a pattern of the goal finds them."""
@@ -319,6 +393,49 @@ def provenance_semi(spark, sf_dir):
     return gates.provenance(claims, found).select("page_id", "link_url", "pos")
 
 
+@query(f"WITH {LINKS_SQL}, f AS (SELECT page_id, arg_min(link_url, pos) AS link_url FROM links GROUP BY 1) SELECT p.page_id, page_id % 5 <> 0 AND page_id % 3 <> 2 AS stands, CASE WHEN page_id % 5 <> 0 THEN CASE page_id % 3 WHEN 0 THEN p.url WHEN 1 THEN f.link_url END END AS checked_url FROM pages p JOIN f USING (page_id)")
+def result_check(spark, sf_dir):
+    """Claims of the page itself, of its first link and of a foreign address; every fifth with an answer that no page has."""
+    rows = pages.features(table(spark, sf_dir, "pages")).filter(F.size("links") > 0)
+    k = F.col("page_id")
+    first = F.array_min(F.transform("links", lambda x: F.struct(x["pos"].alias("pos"), x["url"].alias("url"))))["url"]
+    claims = rows.select("page_id", F.lit(True).alias("found"), F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, first).otherwise("https://elsewhere.example.net/x").alias("result_url"), F.when(k % 5 == 0, "no such answer").alias("answer"))
+    found = rows.select("page_id", F.explode("links").alias("l")).select("page_id", F.col("l.norm").alias("norm_url"))
+    return gates.result_check(claims, rows, found).select("page_id", "stands", "checked_url")
+
+
+#: Documents named by the days of a customer's orders; a claim of the first; the day is 2002-01-01.
+DATED_SQL = """
+o AS (SELECT o_custkey AS c, o_orderkey AS k, 'https://e.com/d/' || strftime(o_orderdate, '%Y%m%d') || '.pdf' AS url, year(o_orderdate) >= 2000 AND date_diff('day', o_orderdate::DATE, DATE '2002-01-01') > 28 AS stale FROM orders),
+f AS (SELECT c, arg_min(url, k) AS claim, arg_min(stale, k) AS stale FROM o GROUP BY c),
+d AS (SELECT c, url, min(k) AS k FROM o WHERE NOT stale GROUP BY c, url)
+"""
+
+
+def _dated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    url = F.concat(F.lit("https://e.com/d/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".pdf"))
+    ranked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page_id"), url.alias("link_url"), url.alias("norm_url"), F.lit(1.0).alias("score"), F.col("o_orderkey").alias("rank"), F.lit(True).alias("open"))
+    claims = ranked.groupBy("page_id").agg(F.min_by("link_url", "rank").alias("result_url")).select("page_id", F.lit(True).alias("found"), "result_url", F.array().cast("array<string>").alias("links_to_follow"))
+    return claims, ranked
+
+
+@query(f"""
+WITH {DATED_SQL}, n AS (SELECT f.c, count(d.url) AS n FROM f LEFT JOIN d ON d.c = f.c AND d.url <> f.claim GROUP BY 1)
+SELECT c AS page_id, NOT (stale AND n > 0) AS found, CASE WHEN NOT (stale AND n > 0) THEN claim END AS result_url, CASE WHEN stale AND n > 0 THEN least(3, n) ELSE 0 END::INT AS n_links FROM f JOIN n USING (c)
+""")
+def stale_claims(spark, sf_dir):
+    """Claims of old documents give way where the page has fresher links."""
+    claims, ranked = _dated(spark, sf_dir)
+    return gates.downgrade(claims, ranked, date(2002, 1, 1)).select("page_id", "found", "result_url", F.size("links_to_follow").alias("n_links"))
+
+
+@query(f"WITH {DATED_SQL} SELECT o.c AS page_id, o.url AS link_url FROM o WHERE NOT o.stale OR NOT EXISTS (SELECT 1 FROM d WHERE d.c = o.c)")
+def stale_links_dropped(spark, sf_dir):
+    """Links to old documents are not followed from pages that have fresher ones."""
+    _, ranked = _dated(spark, sf_dir)
+    return gates.without_stale(ranked.select("page_id", "link_url"), ranked, date(2002, 1, 1))
+
+
 @query("SELECT e.user_id AS crawl_id, 'u' || e.event_id AS norm_url FROM events e WHERE NOT EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'purchase' AND v.user_id = e.user_id AND v.event_id = e.event_id)")
 def visited_anti(spark, sf_dir):
     """Events of a user stand for links of a crawl; purchases are the visited ones."""
@@ -375,6 +492,20 @@ def verify_ladder(spark, sf_dir):
     return verify.ladder(shots, ["the", "eran"], "navigation").select("url", "passed", F.round("score", 6).alias("score"), "reason")
 
 
+@query("""
+SELECT event_id, event_id % 8 = 6 AS passed, ['fetch_failed', 'http_404', 'login_wall_redirect', 'login_wall_form', 'empty_response', 'unsafe_url: localhost', 'ok_existence', 'http_503'][1 + event_id % 8] AS reason FROM events
+""")
+def verify_steps(spark, sf_dir):
+    """Destinations that each step of the ladder ends, and some that pass."""
+    k = F.col("event_id") % 8
+    url = F.when(k == 5, "http://localhost/x").otherwise(F.concat(F.lit("https://e.com/"), F.col("event_id").cast("string")))
+    status = F.when(k == 1, 404).when(k == 7, 503).when(k > 0, 200).cast("int")
+    chain = F.when(k == 2, F.array(F.struct(F.lit(302).alias("status"), F.lit("https://e.com/login").alias("url")))).otherwise(F.array(F.struct(F.lit(302).alias("status"), url.alias("url"))))
+    html = F.when(k == 3, '<form><input name="p" type="password"></form>').when(k == 4, "").otherwise("<p>text</p>")
+    shots = table(spark, sf_dir, "events").select("event_id", url.alias("url"), status.alias("status"), chain.alias("redirect_chain"), html.alias("html"), F.length(html).alias("content_length"))
+    return verify.ladder(shots, ["text"], "navigation", mode="existence").select("event_id", "passed", "reason")
+
+
 # model text
 
 
