@@ -8,6 +8,7 @@ bounded size that outlives a task; what it forgets is encoded again.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import islice
@@ -16,12 +17,29 @@ import numpy as np
 
 #: What a worker remembers: so many chunks, and so many bytes of them. Beyond either, those met first stay, up to half
 #: of each, the commoner chunks mostly. One batch of texts more may be held in between.
-CACHE_CHUNKS = 600_000
-CACHE_BYTES = 64_000_000
+CACHE_CHUNKS = 900_000
+CACHE_BYTES = 96_000_000
 _ENCODE_AT_ONCE = 20_000
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+_LATIN = re.compile("[!-~\u00a1-\u024f]+")
+_RUNS = re.compile("[a-z]+|[^a-z]+")
+
+
+def plain_runs(chunk: str) -> int:
+    """How many pre-tokens a chunk has, if its characters tell; 0 if they do not; -1 if it is not in normal form.
+
+    Latin letters in lower case without marks of their own are in normal form already. A run of letters is a pre-token,
+    and so is a run of other characters but digits and apostrophes.
+    """
+    if chunk != chunk.lower() or not (chunk.isascii() or _LATIN.fullmatch(chunk)):
+        return -1
+    if chunk.isalpha():
+        return 1
+    return 0 if not chunk.isascii() or "'" in chunk or "<|" in chunk or any(map(str.isdigit, chunk)) else len(_RUNS.findall(chunk))
+
+
 class _Numbers(dict):
     """Numbers of chunks in the order they are first asked for; ``new`` lists those not encoded yet."""
 
@@ -45,8 +63,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._whole, self._plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self._plain.normalizer = None  # lower-case ASCII is in normal form already
+        self._plain.normalizer = None  # for chunks in normal form
         self.vocab_size = self._whole.get_vocab_size()
+        suffix = getattr(self._whole.model, "end_of_word_suffix", None)
+        self._closes = np.zeros(self.vocab_size, bool) if suffix else None  # tokens that end a pre-token
+        for token, number in self._whole.get_vocab().items() if suffix else ():
+            self._closes[number] = token.endswith(suffix)
         self._limit, self._limit_bytes = cache_chunks, cache_bytes
         self._number = _Numbers()
         self._start, self._length, self._ids = array("q"), array("i"), array("I")
@@ -61,17 +83,32 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         for at in range(0, len(chunks), _ENCODE_AT_ONCE):
-            part = chunks[at : at + _ENCODE_AT_ONCE]
-            plain = np.fromiter((c.isascii() and c == c.lower() for c in part), bool, len(part))
-            lengths, ids = np.zeros(len(part), np.int64), [np.zeros(0, np.uint32)] * 2
-            for k, (tokenizer, own) in enumerate(((self._whole, np.flatnonzero(~plain)), (self._plain, np.flatnonzero(plain)))):
-                if len(own):
-                    found = tokenizer.encode([part[i].decode() for i in own], is_pretokenized=True, add_special_tokens=False)
-                    lengths[own] = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own)) if len(found) else 0
-                    ids[k] = np.array(found.ids, np.uint32)
-            starts = np.empty(len(part), np.int64)
-            for base, mask in ((0, ~plain), (len(ids[0]), plain)):
-                starts[mask] = base + np.cumsum(lengths[mask]) - lengths[mask]
+            texts = [c.decode() for c in chunks[at : at + _ENCODE_AT_ONCE]]
+            runs_of = np.fromiter(map(plain_runs, texts), np.int64, len(texts))
+            if self._closes is None:
+                runs_of = np.minimum(runs_of, 0)
+            lengths, ids, held = np.zeros(len(texts), np.int64), [], 0
+            starts = np.empty(len(texts), np.int64)
+            for own in (np.flatnonzero(runs_of > 0), np.flatnonzero(runs_of == 0), np.flatnonzero(runs_of < 0)):
+                if not len(own):
+                    continue
+                part = [texts[i] for i in own]
+                joined = runs_of[own[0]] > 0
+                ends = np.arange(1, len(own) + 1)
+                if joined:  # one text, whose pre-tokens are the chunks' runs in turn; their last tokens are known by a suffix
+                    found = self._plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+                    last = self._closes[np.array(found.ids, np.int64)]
+                    words, ends = np.cumsum(last) - last, np.cumsum(runs_of[own])
+                    if int(last.sum()) != ends[-1]:
+                        raise ValueError("the tokenizer splits plain chunks otherwise than expected")
+                else:
+                    found = (self._plain if runs_of[own[0]] == 0 else self._whole).encode(part, is_pretokenized=True, add_special_tokens=False)
+                    words = np.array(found.word_ids, np.int64)
+                sizes = np.bincount(words, minlength=ends[-1]) if len(words) else np.zeros(ends[-1], np.int64)
+                lengths[own] = np.diff(np.cumsum(sizes)[ends - 1], prepend=0)
+                ids.append(np.array(found.ids, np.uint32))
+                starts[own] = held + np.cumsum(lengths[own]) - lengths[own]
+                held += len(ids[-1])
             starts += len(self._ids)
             for kept, values, kind in ((self._ids, np.concatenate(ids), np.uint32), (self._start, starts, np.int64), (self._length, lengths, np.int32)):
                 kept.frombytes(values.astype(kind).tobytes())
