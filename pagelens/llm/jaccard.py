@@ -46,6 +46,8 @@ LEADER_ROUNDS = 2
 #: Rows that Python workers are sent at once: whole texts, or the sets of two classes.
 ARROW_ROWS = 1000
 BROADCAST_IDS = 2_000_000
+#: Rows of one token that a task joins with one copy of what they meet.
+POSTING_ROWS = 1000
 #: Pairs of one class that a task takes with one copy of its set.
 CLASS_PAIRS = 256
 MANY = 0xFFFF
@@ -176,6 +178,23 @@ def explode_tokens(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n", "tokens").mapInArrow(run, "node long, n int, token long")
 
 
+def heavy_tokens(counts: DataFrame) -> tuple[DataFrame, bool]:
+    """Tokens (of a table token, df) with more than POSTING_ROWS rows, in how many parts their rows are dealt, and
+    whether there are few enough of them to broadcast."""
+    heavy = save(counts.filter(F.col("df") > POSTING_ROWS).select("token", F.ceil(F.col("df") / POSTING_ROWS).cast("int").alias("_parts")), "heavy")
+    return heavy, heavy.count() <= BROADCAST_IDS
+
+
+def by_token(rows: DataFrame, other: DataFrame, heavy: tuple[DataFrame, bool]) -> DataFrame:
+    """The join of rows (token, node, ...) and others of the same tokens; rows of a heavy token are dealt to several
+    tasks by their node, and the others go to each of these."""
+    table, few = heavy
+    parts = F.broadcast(table) if few else table
+    left = rows.join(parts, "token", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    right = other.join(parts, "token", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, ["token", "_part"]).drop("_part")
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """The index of the first order: token, node, n, shared, position (from 0, rarest first), weight of every prefix token.
 
@@ -186,13 +205,18 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     have ``needed(n)``, so one of the first shared - needed + 1 is common to both.
     """
     entries = explode_tokens(sets)
-    often = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    known = entries.join(often, "token")
+    often = save(entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    heavy = heavy_tokens(often)
+    known = by_token(entries, often, heavy)
     per = Window.partitionBy("node")
     known = known.withColumns({"shared": F.count("*").over(per), "weight": F.sum("df").over(per) / F.col("n")})
     known = known.filter(F.col("shared") >= F.ceil(F.col("n") * percent / 100))
     known = known.withColumn("position", F.row_number().over(per.orderBy("df", "token")) - 1)
-    return known.filter(F.col("position") <= F.col("shared") - F.floor((F.col("n") * percent + 99) / 100)).select("token", "node", "n", "shared", "position", "weight")
+    known = known.filter(F.col("position") <= F.col("shared") - F.floor((F.col("n") * percent + 99) / 100))
+    index = save(known.select("token", "node", "n", "shared", "position", "weight"), "index")
+    for done in (often, heavy[0]):
+        drop(sets.sparkSession, done)
+    return index
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, columns: list[Column]) -> DataFrame:
@@ -257,31 +281,34 @@ def _close(percent: int):
     return (F.col("n") * 100 >= F.col("_n") * percent) & (F.col("_n") * 100 >= F.col("n") * percent)
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, heavy: tuple[DataFrame, bool]) -> DataFrame:
     """The postings that hold classes of two labels or more."""
     spread = rows.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("token")
-    return rows.join(spread, "token")
+    return by_token(rows, spread, heavy)
 
 
-def posting_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def posting_pairs(rows: DataFrame, percent: int, heavy: tuple[DataFrame, bool] | None = None) -> DataFrame:
     """The distinct pairs a < b of classes that meet in a posting and may link.
 
     A pair is taken at any token that could be its first common one: the overlap that is left must suffice. Where rows
     have labels, pairs of one label are not made: the classes of a posting that are not of its commonest label are held
     against all others, so a label that fills a posting costs no more than its classes.
     """
+    heavy = heavy or heavy_tokens(rows.groupBy("token").agg(F.count("*").alias("df")))
     left = rows
     apart = F.col("node") < F.col("_node")
     if "label" in rows.columns:
         sizes = rows.groupBy("token", "label").agg(F.count("*").alias("_n"))
         common = sizes.groupBy("token").agg(F.max(F.struct("_n", "label")).alias("_m")).select("token", F.col("_m.label").alias("_common"))
-        rows = rows.join(common, "token").withColumn("_few", F.col("label") != F.col("_common")).drop("_common")
+        rows = by_token(rows, common, heavy).withColumn("_few", F.col("label") != F.col("_common")).drop("_common")
         left = rows.filter("_few")
         apart = (F.col("label") != F.col("_label")) & (~F.col("__few") | apart)
     other = rows.select("token", *(F.col(c).alias("_" + c) for c in rows.columns if c not in ("token", "weight")))
     reach = F.least(F.col("shared") - F.col("position"), F.col("_shared") - F.col("_position"))
     overlap = reach * (100 + percent) >= (F.col("n") + F.col("_n")) * percent
-    pairs = left.join(other, "token").filter(apart).filter(_close(percent)).filter(overlap)
+    # the longer side is dealt, the shorter goes to every part
+    dealt = by_token(other.withColumn("node", F.col("_node")), left.withColumnRenamed("node", "_left"), heavy)
+    pairs = dealt.drop("node").withColumnRenamed("_left", "node").filter(apart).filter(_close(percent)).filter(overlap)
     return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
@@ -296,13 +323,14 @@ def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     spark = sets.sparkSession
     labels = save(sets.select("node", F.col("node").alias("label")), "labels")
+    heavy = heavy_tokens(index.groupBy("token").agg(F.count("*").alias("df")))
     found = None
     for turn in range(LEADER_ROUNDS):
-        rows = _mixed(index.join(labels, "node"))
+        rows = _mixed(index.join(labels, "node"), heavy)
         first = F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "label")
         key = F.struct(first.alias("h"), "node", "n", "label")
         leader = rows.groupBy("token").agg(F.max(key).alias("l")).select("token", F.col("l.node").alias("_node"), F.col("l.n").alias("_n"), F.col("l.label").alias("_label"))
-        meets = rows.join(leader, "token").filter(F.col("label") != F.col("_label")).filter(_close(percent)).groupBy("node", "_node").agg(F.count("*").alias("times"))
+        meets = by_token(rows, leader, heavy).filter(F.col("label") != F.col("_label")).filter(_close(percent)).groupBy("node", "_node").agg(F.count("*").alias("times"))
         chosen = meets.groupBy("node").agg(F.max(F.struct("times", "_node")).alias("c")).select(F.col("node").alias("a"), F.col("c._node").alias("b"))
         new = verify(chosen, sets, percent)
         found = new if found is None else found.union(new)
@@ -311,9 +339,9 @@ def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         moved = save(labels.join(hooks, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
         drop(spark, labels)
         labels = moved
-    rows = save(_mixed(index.join(labels, "node")), "open")
-    rest = verify(posting_pairs(rows, percent), sets, percent)
-    for done in (labels, rows):
+    rows = save(_mixed(index.join(labels, "node"), heavy), "open")
+    rest = verify(posting_pairs(rows, percent, heavy), sets, percent)
+    for done in (labels, rows, heavy[0]):
         drop(spark, done)
     return found.union(rest)
 
@@ -343,7 +371,7 @@ def _classes(docs: DataFrame, width: int, percent: int, apart: bool = False) ->
     whole = class_sets(texts.join(wanted, "doc_id", "left_semi"), width)
     kept = whole.join(busy, (whole.doc_id == busy["first"]) & (whole.h1 == busy.h1) & (whole.h2 == busy.h2)).select("node", "n", "tokens")
     sets = save(kept.dropDuplicates(["node", "tokens"]), "sets")
-    index = save(prefixes(sets, percent), "index")
+    index = prefixes(sets, percent)
     drop(spark, busy)
     return signed, classes, sets, index
 
@@ -381,8 +409,9 @@ def class_links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
     connected groups too, so the pairs of a large group of near copies grow with the square of its different texts."""
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         signed, classes, sets, index = _classes(docs, width, percent, apart=True)
-        found = verify(posting_pairs(index, percent), sets, percent)
-        for done in (sets, index):
+        heavy = heavy_tokens(index.groupBy("token").agg(F.count("*").alias("df")))
+        found = verify(posting_pairs(index, percent, heavy), sets, percent)
+        for done in (sets, index, heavy[0]):
             drop(docs.sparkSession, done)
     return signed, classes, found
 
