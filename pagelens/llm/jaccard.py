@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import arrow_rows, drop, save
+from .scratch import arrow_rows, drop, give_back, save, tidy
 from .shingles import shingle_sets
 from .tokens import arrow_texts, slices
 
@@ -61,6 +61,7 @@ def needed(n: int | np.ndarray, percent: int):
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n (set size), h1, h2 (fingerprint of the set)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = arrow_texts(batch.column(1))
@@ -77,6 +78,7 @@ def shared_counts(docs: DataFrame, width: int, ranges: int) -> DataFrame:
     """doc_id, shared: how many of a document's shingles occur in another document too (rarely a few more, where the
     remainders of two shingles are equal; never fewer)."""
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = arrow_texts(batch.column(1))
@@ -143,6 +145,7 @@ def shared_counts(docs: DataFrame, width: int, ranges: int) -> DataFrame:
                     some = np.flatnonzero(total)
                     ids.append(doc[some])
                     n.append(total[some])
+        give_back()
         return pa.table({"doc_id": pa.array(np.concatenate([np.zeros(0, np.int64), *ids]), pa.int64()), "shared": pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())})
 
     blobs = docs.mapInArrow(send, "range int, ids binary, places binary, tokens binary, home binary")
@@ -152,6 +155,7 @@ def shared_counts(docs: DataFrame, width: int, ranges: int) -> DataFrame:
 def class_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, h1, h2, tokens (the sorted set as little-endian bytes)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = arrow_texts(batch.column(1))
@@ -166,6 +170,7 @@ def class_sets(docs: DataFrame, width: int) -> DataFrame:
 def explode_tokens(sets: DataFrame) -> DataFrame:
     """node, n, token: a row for each token of each set."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
@@ -238,6 +243,7 @@ def _beside(pairs: DataFrame, sets: DataFrame, columns: list[Column]) -> DataFra
     return out
 
 
+@tidy
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose prefixes share a token under each of two orders."""
     for batch in batches:
@@ -254,6 +260,7 @@ def meet(x: bytes, y: bytes) -> bool:
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose sets link: the prefixes under ascending and descending hash must meet, then the exact test."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [links(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("_x0").to_pylist(), batch.column("_y0").to_pylist(), strict=True)]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import unused
+from .scratch import tidy, unused
 from .tokens import arrow_texts
 
 #: Most labelled rows to learn from; beyond it a hash of the doc_id chooses.
@@ -67,6 +67,7 @@ def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns and an array of the text's features."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_features(t) for t in arrow_texts(batch.column(len(keep)))]
@@ -208,6 +209,7 @@ def score(docs: DataFrame, model: AdditiveModel, keep: list[str]) -> DataFrame:
     columns = keep if "text" in keep else [*keep, "text"]
     at = columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([text_features(t) for t in arrow_texts(batch.column(at))], float).reshape(-1, len(NAMES))

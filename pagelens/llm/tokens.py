@@ -17,8 +17,8 @@ import numpy as np
 
 #: What a worker remembers: so many chunks, and so many bytes of them. Beyond either, those met first stay, up to half
 #: of each, the commoner chunks mostly. One batch of texts more may be held in between.
-CACHE_CHUNKS = 900_000
-CACHE_BYTES = 96_000_000
+CACHE_CHUNKS = 600_000
+CACHE_BYTES = 64_000_000
 _ENCODE_AT_ONCE = 20_000
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -145,6 +145,11 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop what the worker's encoders remember."""
+    _ENCODERS.clear()
+
+
 def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs of items of about so much size together (one larger item is a run of its own)."""
     begin, held = 0, 0

@@ -97,6 +97,11 @@ def counter(model_path: str) -> TrieCounter:
     return _COUNTERS[model_path]
 
 
+def forget() -> None:
+    """Drop what the worker's counters remember."""
+    _COUNTERS.clear()
+
+
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every whole text."""
 
