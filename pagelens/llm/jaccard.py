@@ -186,7 +186,9 @@ def explode_tokens(sets: DataFrame) -> DataFrame:
 def heavy_tokens(counts: DataFrame) -> tuple[DataFrame, bool]:
     """Tokens (of a table token, df) with more than POSTING_ROWS rows, in how many parts their rows are dealt, and
     whether there are few enough of them to broadcast."""
-    heavy = save(counts.filter(F.col("df") > POSTING_ROWS).select("token", F.ceil(F.col("df") / POSTING_ROWS).cast("int").alias("_parts")), "heavy")
+    heavy = counts.filter(F.col("df") > POSTING_ROWS).select("token", F.ceil(F.col("df") / POSTING_ROWS).cast("int").alias("_parts"))
+    # never empty (a token in one part changes nothing), so plans are the same at every size
+    heavy = save(heavy.union(counts.sparkSession.range(1).select(F.lit(0).cast("long"), F.lit(1))).groupBy("token").agg(F.max("_parts").alias("_parts")), "heavy")
     return heavy, heavy.count() <= BROADCAST_IDS
 
 
@@ -224,16 +226,20 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return index
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, columns: list[Column]) -> DataFrame:
+def _beside(pairs: DataFrame, sets: DataFrame, columns: list[Column], once: bool = False) -> DataFrame:
     """Pairs a, b with the columns of both sets, as _x0, _x1, ... and _y0, _y1, ...; pairs is a saved table.
 
     A class of many pairs is cut in parts of CLASS_PAIRS pairs, each with a copy of its columns, so it fills no task.
+    With ``once`` a class is the first of one pair at most.
     """
     few = pairs.count() // CLASS_PAIRS <= BROADCAST_IDS  # there are so many classes of several parts at most
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = sets.join(named, "node", "left_semi")
     out = pairs
     for side, other, names in (("a", "b", "_x"), ("b", "a", "_y")):
+        if once and side == "a":
+            out = out.join(wanted.select(F.col("node").alias("a"), *(c.alias(f"{names}{i}") for i, c in enumerate(columns))), "a")
+            continue
         parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / CLASS_PAIRS).cast("int").alias("_parts")).filter("_parts > 1")
         parts = F.broadcast(parts) if few else parts
         own = wanted.select(F.col("node").alias(side), *(c.alias(f"{names}{i}") for i, c in enumerate(columns)))
@@ -257,8 +263,9 @@ def meet(x: bytes, y: bytes) -> bool:
     return len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) > 0
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose sets link: the prefixes under ascending and descending hash must meet, then the exact test."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """Pairs a, b whose sets link: the prefixes under ascending and descending hash must meet, then the exact test.
+    ``once``: no class is the first of two pairs."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +277,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = save(pairs, "pairs")
     bytes_ = 8 * (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")
     prefix = [F.substring("tokens", F.lit(1), bytes_), F.substring("tokens", -bytes_, bytes_)]
-    near = save(_beside(pairs, sets, prefix).mapInArrow(_meeting, "a long, b long"), "near")
-    found = save(_beside(near, sets, [F.col("tokens")]).mapInArrow(run, "a long, b long"), "links")
+    near = save(_beside(pairs, sets, prefix, once).mapInArrow(_meeting, "a long, b long"), "near")
+    found = save(_beside(near, sets, [F.col("tokens")], once).mapInArrow(run, "a long, b long"), "links")
     for done in (pairs, near):
         drop(spark, done)
     return found
@@ -339,7 +346,7 @@ def link_edges(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         leader = rows.groupBy("token").agg(F.max(key).alias("l")).select("token", F.col("l.node").alias("_node"), F.col("l.n").alias("_n"), F.col("l.label").alias("_label"))
         meets = by_token(rows, leader, heavy).filter(F.col("label") != F.col("_label")).filter(_close(percent)).groupBy("node", "_node").agg(F.count("*").alias("times"))
         chosen = meets.groupBy("node").agg(F.max(F.struct("times", "_node")).alias("c")).select(F.col("node").alias("a"), F.col("c._node").alias("b"))
-        new = verify(chosen, sets, percent)
+        new = verify(chosen, sets, percent, once=True)
         found = new if found is None else found.union(new)
         here, there = (labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
         hooks = new.join(here, "a").join(there, "b").select(F.greatest("_a", "_b").alias("label"), F.least("_a", "_b").alias("_to")).filter("label <> _to").groupBy("label").agg(F.min("_to").alias("_to"))

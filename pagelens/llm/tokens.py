@@ -15,6 +15,8 @@ from itertools import islice
 
 import numpy as np
 
+from .scratch import give_back
+
 #: What a worker remembers: so many chunks, and so many bytes of them. Beyond either, those met first stay, up to half
 #: of each, the commoner chunks mostly. One batch of texts more may be held in between.
 CACHE_CHUNKS = 600_000
@@ -70,6 +72,7 @@ class ChunkEncoder:
         for token, number in self._whole.get_vocab().items() if suffix else ():
             self._closes[number] = token.endswith(suffix)
         self._limit, self._limit_bytes = cache_chunks, cache_bytes
+        self._batches = 0
         self._number = _Numbers()
         self._start, self._length, self._ids = array("q"), array("i"), array("I")
 
@@ -130,6 +133,9 @@ class ChunkEncoder:
             numbers.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
         new, self._number.new = self._number.new, []
         self._learn(new)
+        self._batches += 1
+        if self._batches % 4 == 0:
+            give_back()
         start, length, ids = (np.frombuffer(a, t) if a else np.zeros(0, t) for a, t in ((self._start, np.int64), (self._length, np.int32), (self._ids, np.uint32)))
         for which in numbers:
             sizes = length[which].astype(np.int64)
