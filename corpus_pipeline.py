@@ -33,7 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: a row for each piece of a document."""
-    return packing.pack(docs.select("doc_id", "text"), word_tokenizer(), 0, 2048)
+    # fewer chunks remembered than by default: the stages before it leave executors less memory than a query alone has
+    return packing.pack(docs.select("doc_id", "text"), word_tokenizer(), 0, 2048, cache_chunks=150_000)
 
 
 STAGES = [("quality", quality_filter), ("near_copies", near_copies), ("mix", source_mix), ("pack", pack)]

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import save
-from .tokens import arrow_texts, encoder, slices
+from .scratch import arrow_rows, save
+from .tokens import CACHE_CHUNKS, arrow_texts, encoder, slices
 
 #: Lengths over this share of the capacity are grouped; the others are small.
 LARGE = 1 / 3
@@ -29,6 +29,8 @@ GROUPS = 48
 #: Ranks within a length are counted in so many buckets, and in one more for every BUCKET_ROWS pieces.
 BUCKETS = 256
 BUCKET_ROWS = 50_000
+#: Texts that Python workers are sent at once.
+ARROW_ROWS = 2000
 
 
 def groups_of(counts: np.ndarray, large: int, groups: int) -> list[list[tuple[int, int]]]:
@@ -228,12 +230,12 @@ def make_plan(counts: np.ndarray, capacity: int, groups: int = GROUPS, share: fl
     return np.array(plan.rows, np.int64).reshape(-1, 5), plan.sequences
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, separator_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, separator_id: int, capacity: int, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the separator, cut at the capacity only."""
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cache_chunks)
         for batch in batches:
             texts = arrow_texts(batch.column(1))
             names = batch.column(0).to_pylist()
@@ -284,12 +286,14 @@ def place(cut: DataFrame, capacity: int, groups: int = GROUPS) -> DataFrame:
     return ranked.select(*kept, "_rank").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, separator_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, separator_id: int = 0, capacity: int = 2048, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are a piece of the separator alone. A null doc_id is kept. Rows that repeat a doc_id are packed
     each for itself. An empty table gives no rows. Columns other than doc_id and text are not read. Long texts are many
-    pieces; workers hold one slice of texts at a time.
+    pieces; workers hold one slice of texts at a time, and the ids of ``cache_chunks`` chunks (about 250 bytes each).
     """
-    cut = pieces(docs, tokenizer_path, separator_id, capacity).withColumn("_salt", (F.rand() * BUCKETS).cast("int"))
-    return place(save(cut, "pieces"), capacity)
+    cut = pieces(docs, tokenizer_path, separator_id, capacity, cache_chunks).withColumn("_salt", (F.rand() * BUCKETS).cast("int"))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        stored = save(cut, "pieces")
+    return place(stored, capacity)

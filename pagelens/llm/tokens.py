@@ -22,7 +22,7 @@ from .scratch import give_back
 CACHE_CHUNKS = 600_000
 CACHE_BYTES = 64_000_000
 _ENCODE_AT_ONCE = 20_000
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 _LATIN = re.compile("[!-~\u00a1-\u024f]+")
@@ -144,11 +144,12 @@ class ChunkEncoder:
             yield ids[np.repeat(start[which] - (ends - sizes), sizes) + np.arange(total)]
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file; it stays between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    if (path, cache_chunks) not in _ENCODERS:
+        _ENCODERS.clear()  # one is held at a time
+        _ENCODERS[path, cache_chunks] = ChunkEncoder(path, cache_chunks)
+    return _ENCODERS[path, cache_chunks]
 
 
 def forget() -> None:
