@@ -199,7 +199,18 @@ def by_token(rows: DataFrame, other: DataFrame, heavy: tuple[DataFrame, bool]) -
     parts = F.broadcast(table) if few else table
     left = rows.join(parts, "token", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     right = other.join(parts, "token", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, ["token", "_part"]).drop("_part")
+    return _join_parts(left, right, "token")
+
+
+def _join_parts(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """The join of two tables by a long column and _part, as one long key: small tables of that kind are broadcast
+    compactly, while a key of two columns takes a whole memory page of every executor."""
+    key = F.col(name).bitwiseXOR(F.when(F.col("_part") > 0, F.xxhash64("_part")).otherwise(F.lit(0).cast("long")))
+    left = left.withColumn("_key", key).drop("_part")
+    right = right.withColumn("_other_key", key).drop("_part").withColumnRenamed(name, "_same")
+    # different values with one key: told apart by a condition beside the key
+    same = F.col(name).bitwiseXOR(F.col("_same")) == 0
+    return left.join(right, (F.col("_key") == F.col("_other_key")) & same).drop("_key", "_other_key", "_same")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +256,7 @@ def _beside(pairs: DataFrame, sets: DataFrame, columns: list[Column], once: bool
         own = wanted.select(F.col("node").alias(side), *(c.alias(f"{names}{i}") for i, c in enumerate(columns)))
         own = own.join(parts, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
         out = out.join(parts, side, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
-        out = out.join(own, [side, "_part"]).drop("_part")
+        out = _join_parts(out, own, side)
     return out
 
 
