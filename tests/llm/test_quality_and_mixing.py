@@ -21,6 +21,30 @@ def test_model_learns_shapes_and_pairs():
     assert len(model.single) == 5 and {(0, 1)} <= {(i, j) for i, j, _ in model.pairs}
 
 
+def test_trees_and_scores_match_plain_ones():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        grad, weight = rng.normal(size=7), rng.random(7) + 0.1
+        ridge = 2.0
+        gain = lambda a, b: grad[a:b].sum() ** 2 / (weight[a:b].sum() + ridge)  # noqa: E731, B023
+        cut = max(range(1, 7), key=lambda c: gain(0, c) + gain(c, 7))  # noqa: B023
+        leaf = lambda a, b: grad[a:b].sum() / (weight[a:b].sum() + ridge)  # noqa: E731, B023
+        want = [leaf(0, 7)] * 7 if gain(0, cut) + gain(cut, 7) - gain(0, 7) <= 1e-9 else [leaf(0, cut)] * cut + [leaf(cut, 7)] * (7 - cut)
+        assert np.allclose(quality._tree(grad, weight, 2, ridge), want)
+        g, w = rng.normal(size=(4, 5)), rng.random((4, 5)) + 0.1
+        parts = lambda i, j: [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, 5)), (slice(i, 4), slice(0, j)), (slice(i, 4), slice(j, 5))]
+        value = lambda i, j: sum(g[p].sum() ** 2 / (w[p].sum() + ridge) for p in parts(i, j))  # noqa: E731, B023
+        i, j = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda ij: value(*ij))  # noqa: B023
+        got, table = quality._quadrants(g, w, ridge)
+        assert got == pytest.approx(value(i, j)) and all(np.allclose(table[p], g[p].sum() / (w[p].sum() + ridge)) for p in parts(i, j))
+    x = rng.normal(size=(300, 3))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), rounds=10, pairs=2)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        bins = [sum(e <= v for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.single, bins, strict=True)) + sum(t[bins[i], bins[j]] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_models_without_a_choice():
     assert quality.fit(np.zeros((0, 18)), np.zeros(0)).score(np.zeros((2, 18))).tolist() == [0.5, 0.5]
     assert (quality.fit(np.zeros((3, 18)), np.ones(3)).score(np.zeros((2, 18))) > 0.9).all()
