@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import drop, save, unused
+from .scratch import drop, save, small_table, unused
 
 #: Blocks of all sources together, and one more for each source at most.
 BLOCKS = 16_384
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * whole, most)
     cuts = [max(1, min(docs_, -(-n * blocks // whole))) if whole else 1 for _, _, n, docs_ in totals]
     names = [(none, source.decode()) for none, source, _, _ in totals]
-    per_source = spark.createDataFrame([(*k, c) for k, c in zip(names, cuts, strict=True)], "_none boolean, _source string, _cuts int")
+    per_source = small_table(spark, [(*k, c) for k, c in zip(names, cuts, strict=True)], "_none boolean, _source string, _cuts int")
     per_source = F.broadcast(per_source) if len(names) <= BROADCAST_ROWS else per_source
     block = F.pmod(F.shiftright("_order", 8), F.col("_cuts")).cast("int")
     held = {(r["_none"], r["_source"], r["_block"]): r["n"] for r in narrow.join(per_source, ["_none", "_source"]).groupBy("_none", "_source", block.alias("_block")).agg(F.sum("size").alias("n")).collect()}
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
         rest = need - (int(ends[at - 1]) if at else 0)
         partial.append((int(drawn[at]), rest) if at < cut and rest > 0 else (-1, 0))
     # the document at which a source's last block is cut: one row a source
-    last = spark.createDataFrame([(*k, c, b, rest) for k, c, (b, rest) in zip(names, cuts, partial, strict=True) if b >= 0] or [(False, "", 1, -1, 0)], "_none boolean, _source string, _cuts int, _block int, _rest long")
+    last = small_table(spark, [(*k, c, b, rest) for k, c, (b, rest) in zip(names, cuts, partial, strict=True) if b >= 0] or [(False, "", 1, -1, 0)], "_none boolean, _source string, _cuts int, _block int, _rest long")
     last = F.broadcast(last) if len(names) <= BROADCAST_ROWS else last
     edge = narrow.join(last, ["_none", "_source"]).filter(block == F.col("_block")).groupBy("_none", "_source", "_rest", "_order").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
     running = Window.partitionBy("_none", "_source").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
             e = edges[k] if b == cut_block else None
             edge_at, edge_part = (None, None) if e is None else (e["_order"], (rest - (e["end"] - e["n"])) // e["rows"])
             rows.append((*k, b, goal, size, got, edge_at, edge_part, int(rng.integers(shards))))
-    table = spark.createDataFrame(rows, "_none boolean, _source string, _block int, target double, source_size long, _shards array<int>, _edge long, _part long, _extra int")
+    table = small_table(spark, rows, "_none boolean, _source string, _block int, target double, source_size long, _shards array<int>, _edge long, _part long, _extra int")
     table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
     joined = sized.withColumn("_order", order).join(per_source, ["_none", "_source"]).withColumn("_block", block).join(table, ["_none", "_source", "_block"])
     some, none = F.col("size") > 0, F.array().cast("array<int>")

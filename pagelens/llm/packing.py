@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingles
 from .scratch import arrow_rows, save
 from .tokens import CACHE_CHUNKS, arrow_texts, encoder, slices
 
@@ -235,6 +236,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, separator_id: int, capacity: in
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles.forget()  # if a near-copy task did not end in this worker
         enc = encoder(tokenizer_path, cache_chunks)
         for batch in batches:
             texts = arrow_texts(batch.column(1))

@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
 
@@ -47,6 +49,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a table. They go to the JVM as Arrow data: for tuples alone, Spark would start a second
+    kind of Python worker on every executor, which stays beside those that run operators."""
+    kinds = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kinds)
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), kinds)
+
+
 def unused(name: str, columns: list[str], prefix: str) -> str:
     """The name, with the prefix before it as often as it takes to differ from all columns (case aside)."""
     taken = {c.lower() for c in columns}
@@ -83,16 +94,17 @@ def give_back() -> None:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same function of batches, giving memory back before and after; what other operators left in the worker goes."""
+    """The same function of batches, giving memory back before and after; what operators leave in the worker goes."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator) -> Iterator:
-        from . import tokens, unigram
+        from . import shingles, tokens, unigram
 
         tokens.forget()
         unigram.forget()
         give_back()
         yield from run(batches)
+        shingles.forget()
         give_back()
 
     return tidied

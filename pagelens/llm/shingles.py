@@ -11,8 +11,10 @@ from functools import cache
 import numpy as np
 
 #: Bytes hashed at once; memory is about 40 times that.
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 _U = np.uint64
+#: The longest tables of powers asked for so far; see forget.
+_POWERS: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,17 +34,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return mix(byte * _U(0x9E3779B97F4A7C15) + _U(0x51ED270B)), ~space
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    base = 0x5851F42D4C957F2D
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, n of each at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x5851F42D4C957F2D
+        inverse = pow(base, -1, 1 << 64)
+        _POWERS.clear()
+        for b in (base, inverse):
+            p = np.full(n, b, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.cumprod(p, out=p))
+    return _POWERS
+
+
+def forget() -> None:
+    """Drop the tables of powers that the worker keeps."""
+    _POWERS.clear()
 
 
 def _hash_segment(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +57,7 @@ def _hash_segment(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = inside[data]
     edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
     starts, ends = edge[0::2], edge[1::2]
-    size = 1 << max(16, (len(data) - 1).bit_length())
+    size = 1 << max(20, (len(data) - 1).bit_length())  # one table for all segments but those with a very long word
     power, inverse = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(value[data] * power[: len(data)], out=sums[1:])
